@@ -57,7 +57,7 @@ def dropped(df: DataFrame) -> None:
 
 def scan_bytes(df: DataFrame) -> int:
     """Size estimate of df's scan from Spark's statistics; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def bucket_count(df: DataFrame, per_bucket: int = BUCKET_BYTES) -> int:

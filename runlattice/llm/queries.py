@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlattice.llm import bpe, token_output
+from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, quality, token_output, toxicity
 from runlattice.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,13 +22,33 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.written_index(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_orc, op9_bpe_round_trip)}
+    return {f.__name__: f for f in (op3_token_orc, op5_html_main_text, op6_quality_ledger, op7_decontaminate, op8_line_dedup, op9_bpe_round_trip, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_ledger": quality.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
