@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, quality, token_output, toxicity
+from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, minhash, quality, token_output, toxicity
 from runlattice.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.written_index(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_orc, op5_html_main_text, op6_quality_ledger, op7_decontaminate, op8_line_dedup, op9_bpe_round_trip, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_token_orc, op5_html_main_text, op6_quality_ledger, op7_decontaminate, op8_line_dedup, op9_bpe_round_trip, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
