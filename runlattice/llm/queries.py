@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, minhash, quality, token_output, toxicity
+from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality, suffix_dedup, token_output, toxicity
 from runlattice.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,18 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.written_index(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.report(table(spark, sf_dir, "pages"))
 
@@ -51,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_token_orc, op5_html_main_text, op6_quality_ledger, op7_decontaminate, op8_line_dedup, op9_bpe_round_trip, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_pii_pseudonyms, op3_token_orc, op4_suffix_dedup, op5_html_main_text, op6_quality_ledger, op7_decontaminate, op8_line_dedup, op9_bpe_round_trip, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
