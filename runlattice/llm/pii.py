@@ -114,12 +114,12 @@ def phone(f: Feistel, text: str) -> str | None:
 
 
 def ip(f: Feistel, text: str) -> str | None:
-    """IPv4 addresses from 1.0.0.0 to 223.255.255.255."""
+    """IPv4 addresses from 1.0.0.0 to 255.255.255.255."""
     parts = [int(x) for x in text.split(".")]
-    if max(parts) > 255 or not 1 <= parts[0] <= 223 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
+    if max(parts) > 255 or parts[0] < 1 or any(len(x) > 1 and x[0] == "0" for x in text.split(".")):
         return None
     value = (parts[0] << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]) - (1 << 24)
-    value = f.permute(value, 223 << 24, b"ip") + (1 << 24)
+    value = f.permute(value, 255 << 24, b"ip") + (1 << 24)
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
