@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Most words that a worker remembers at once; beyond it the memory is emptied, which changes no result.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
+#: Most rows of a batch that a Python worker holds.
+ARROW_ROWS = 1000
 #: Text bytes that one reduce-side bucket is meant to stand for.
 BUCKET_BYTES = 24 << 20
 
@@ -69,7 +71,13 @@ def bucket_count(df: DataFrame, per_bucket: int = BUCKET_BYTES) -> int:
 
 
 def ensure_workers_import(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't on their path already."""
+    """Lets Python workers import this package where it isn't on their path already, and keeps their batches small.
+
+    Texts are long, so batches hold ARROW_ROWS rows at most instead of Spark's 10,000.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > ARROW_ROWS:
+        spark.conf.set(batch, str(ARROW_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

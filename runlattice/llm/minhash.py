@@ -157,13 +157,16 @@ def cross_pairs(members: DataFrame, key: list[str]) -> DataFrame:
     return left.join(right, key).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links(groups: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def links(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame:
     """Links (a, b), a similarity of 4 in 5 or more, that connect whatever the pairs within groups (g, doc, weight) connect."""
     found: list[DataFrame] = []
     pairs: list[DataFrame] = []
+    texts: DataFrame | None = None
     while True:
         per = groups.groupBy("g").agg(F.count("*").alias("m"), F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("pivot")).filter("m > 1")
         members = stored(groups.join(per, "g").filter("doc <> pivot").select("g", "doc", "weight", "pivot", "m"), "members")
+        if texts is None:  # of documents that share a group; later groups are parts of these
+            texts = stored(all_texts.join(members.select("doc").union(members.select("pivot")).distinct(), "doc"), "texts")
         star = stored(verified(members.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), texts, k).withColumn("linked", similar(F.col("common"), F.col("na"), F.col("nb"))), "stars")
         found.append(star.filter("linked").select("a", "b"))
         seen = members.join(star.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "linked"), ["doc", "pivot"])
@@ -216,11 +219,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: s
     classes = stored(full.groupBy("class_key").agg(F.min("doc").alias("lead"), F.count("*").alias("weight")), "classes")
     copies = full.select("doc", "class_key").join(classes.filter("weight > 1"), "class_key").filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
     ones = full.select("doc", "bands").join(classes.select(F.col("lead").alias("doc"), "weight"), "doc")
-    groups = ones.select("doc", "weight", F.explode("bands").alias("g")).distinct()
-    busy = groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g")
-    groups = stored(groups.join(busy, "g"), "groups")
-    texts = stored(full.select("doc", "z").join(groups.select("doc").distinct(), "doc"), "texts")
-    roots = components(links(groups, texts, k).union(copies))
+    groups = ones.select("doc", "weight", F.explode("bands").alias("g"))
+    roots = components(links(groups, full.select("doc", "z"), k).union(copies))
     out = rows.select("doc", "n").join(roots, F.col("doc") == F.col("node"), "left")
     component = F.coalesce("root", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
