@@ -23,6 +23,8 @@ from runlattice.llm.common import ensure_workers_import
 TRAINING_DOCS = 20_000
 #: Most terms of the lexicon, and the least z-value of a term's log odds.
 LEXICON_TERMS, LEAST_Z = 512, 3.0
+#: Least part of the toxic documents that hold a term: rarer words pass the test by chance.
+LEAST_SHARE = 0.005
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 #: Most distinct words that a worker remembers; beyond it the memory is emptied.
@@ -54,12 +56,32 @@ class Trie:
                 node = node[0].setdefault(c, [{}, -1, 0])
                 node[2] = max(node[2], e)
             node[1] = i
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
+        self.middles: dict[int, set[tuple[int, str]]] = {}
+        for term in terms:
+            e = allowed(term)
+            cuts = [len(term) * i // (e + 1) for i in range(e + 2)]
+            pieces = [term[a:b] for a, b in zip(cuts, cuts[1:])]
+            self.heads.setdefault(len(pieces[0]), set()).add(pieces[0])
+            self.tails.setdefault(len(pieces[-1]), set()).add(pieces[-1])
+            for at, piece in zip(cuts[1:-2], pieces[1:-1]):
+                for a in range(at - e + 1, at + e):
+                    self.middles.setdefault(len(piece), set()).add((a, piece))
         self.lengths = {n + d for t in terms for n in [len(t)] for d in range(-allowed(t), allowed(t) + 1)}
 
+    def possible(self, word: str) -> bool:
+        """Whether a term can be near at all: of its errors + 1 pieces one is whole, the first one in front, the last one at the end, one between near its place."""
+        return (
+            any(word[:n] in some for n, some in self.heads.items())
+            or any(word[-n:] in some for n, some in self.tails.items())
+            or any((a, word[a : a + n]) in some for n, some in self.middles.items() for a in range(max(0, len(word) - n + 1)))
+        )
+
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(term, errors) of the nearest term within its allowed errors, the first of equals; None if there is none."""
         n = len(word)
-        if n not in self.lengths:
+        if n not in self.lengths or not self.possible(word):
             return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -105,8 +127,8 @@ class Matcher(dict):
             self.clear()
         plain = normal(word)
         got = self.trie.nearest(plain)
-        if got is None or got[1]:
-            other = self.trie.nearest(plain.translate(STAND_INS))
+        if (got is None or got[1]) and (other := plain.translate(STAND_INS)) != plain:
+            other = self.trie.nearest(other)
             if other and (got is None or other[1] + 1 < got[1] + 1):
                 got = (other[0], max(1, other[1]))
         self[word] = got
@@ -197,7 +219,7 @@ def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DO
         return Model([], [], w)
     log_odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     z = log_odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    terms = counts.filter("word <> '' AND length(word) <= 40").select("word", log_odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(LEXICON_TERMS).collect()
+    terms = counts.filter("word <> '' AND length(word) <= 40").select("word", "bad", log_odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("bad") >= LEAST_SHARE * bad)).orderBy(F.desc("z"), "word").limit(LEXICON_TERMS).collect()
     model = Model([r["word"] for r in terms], [r["odds"] for r in terms], np.zeros(N_FEATURES))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
