@@ -23,8 +23,14 @@ from runlattice.llm.common import ensure_workers_import
 TRAINING_DOCS = 20_000
 #: Most terms of the lexicon, and the least z-value of a term's log odds.
 LEXICON_TERMS, LEAST_Z = 512, 3.0
+#: Least log odds of a term: what it adds to those of a document without it.
+LEAST_ODDS = 4.0
+#: Lengths of stems: beginnings of words that count as terms, written with a star, where many different endings follow.
+STEM_LENGTHS = (4, 5, 6)
+#: A stem is left out if one word makes up this share of it.
+STEM_OF_ONE = 0.5
 #: Least part of the toxic documents that hold a term: rarer words pass the test by chance.
-LEAST_SHARE = 0.005
+LEAST_SHARE = 0.03
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 #: Most distinct words that a worker remembers; beyond it the memory is emptied.
@@ -39,16 +45,17 @@ N_FEATURES = 10
 
 
 def allowed(term: str) -> int:
-    """Errors that a term may have: none to 3 letters, one to 7, two above."""
-    return 0 if len(term) <= 3 else 1 if len(term) <= 7 else 2
+    """Errors that a term may have: none to 3 letters and in stems, one to 7, two above."""
+    return 0 if term.endswith("*") else 0 if len(term) <= 3 else 1 if len(term) <= 7 else 2
 
 
 class Trie:
-    """A lexicon as nested nodes: [children, term index or -1, most errors of the terms below]."""
+    """A lexicon as nested nodes: [children, term index or -1, most errors of the terms below]; a stem ends at its star."""
 
     def __init__(self, terms: list[str]) -> None:
         self.terms = terms
         self.root: list = [{}, -1, 0]
+        self.stem = min((len(t) - 1 for t in terms if t.endswith("*")), default=1 << 30)
         for i, term in enumerate(terms):
             node, e = self.root, allowed(term)
             node[2] = max(node[2], e)
@@ -60,7 +67,7 @@ class Trie:
         self.tails: dict[int, set[str]] = {}
         self.middles: dict[int, set[tuple[int, str]]] = {}
         for term in terms:
-            e = allowed(term)
+            e, term = allowed(term), term.rstrip("*")
             cuts = [len(term) * i // (e + 1) for i in range(e + 2)]
             pieces = [term[a:b] for a, b in zip(cuts, cuts[1:])]
             self.heads.setdefault(len(pieces[0]), set()).add(pieces[0])
@@ -81,7 +88,7 @@ class Trie:
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(term, errors) of the nearest term within its allowed errors, the first of equals; None if there is none."""
         n = len(word)
-        if n not in self.lengths or not self.possible(word):
+        if (n not in self.lengths and n < self.stem) or not self.possible(word):
             return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -98,6 +105,8 @@ class Trie:
                         if best is None or (e, node[1]) < (best[1], best[0]):
                             best = (node[1], e)
                         break
+            if "*" in node[0] and states[0] and (best is None or best[1] > 0):
+                best = (node[0]["*"][1], 0)
             for c, child in node[0].items():
                 m = masks.get(c, 0)
                 low = (states[0] & m) << 1
@@ -191,6 +200,21 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def chosen(rows: list) -> list:
+    """Terms without overlap: a stem only where no single word makes up most of it, the shortest that does, and words that no stem covers."""
+    words = {r["word"]: r for r in rows if not r["word"].endswith("*")}
+    most: Counter = Counter()
+    for w, r in words.items():
+        for n in STEM_LENGTHS:
+            most[w[:n] + "*"] = max(most[w[:n] + "*"], r["bad"])
+    stems: dict[str, object] = {}
+    for r in sorted((r for r in rows if r["word"].endswith("*")), key=lambda r: (len(r["word"]), r["word"])):
+        if most[r["word"]] < STEM_OF_ONE * r["bad"] and not any(r["word"][:n] + "*" in stems for n in STEM_LENGTHS if n < len(r["word"]) - 1):
+            stems[r["word"]] = r
+    kept = [r for w, r in words.items() if not any(w[:n] + "*" in stems for n in STEM_LENGTHS)]
+    return sorted([*kept, *stems.values()], key=lambda r: (-r["z"], r["word"]))
+
+
 def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learns lexicon and weights from labelled rows whose crc32(doc_id) mod 5 isn't 0, training_docs at most.
 
@@ -206,7 +230,9 @@ def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DO
         for batch in batches:
             count: Counter = Counter()
             for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                count.update((w, y) for w in {normal(w) for w in (t or "").split()} if len(w) > 2)
+                found = {normal(w) for w in (t or "").split()}
+                count.update((w, y) for w in found if len(w) > 2 and "*" not in w)
+                count.update((w, y) for w in {w[:n] + "*" for w in found for n in STEM_LENGTHS if len(w) > n and "*" not in w})
                 count[("", y)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.int32()), pa.array(list(count.values()), pa.int64())], ["word", "toxic", "n"])
 
@@ -219,7 +245,9 @@ def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DO
         return Model([], [], w)
     log_odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     z = log_odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    terms = counts.filter("word <> '' AND length(word) <= 40").select("word", "bad", log_odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("bad") >= LEAST_SHARE * bad)).orderBy(F.desc("z"), "word").limit(LEXICON_TERMS).collect()
+    good_terms = counts.filter("word <> '' AND length(word) <= 40").select("word", "bad", log_odds.alias("odds"), z.alias("z"))
+    good_terms = good_terms.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS) & (F.col("bad") >= LEAST_SHARE * bad))
+    terms = chosen(good_terms.orderBy(F.desc("z"), "word").limit(4 * LEXICON_TERMS).collect())[:LEXICON_TERMS]
     model = Model([r["word"] for r in terms], [r["odds"] for r in terms], np.zeros(N_FEATURES))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
