@@ -21,6 +21,7 @@ from runlattice.llm import blobs
 from runlattice.llm.common import bucket_count, ensure_workers_import, mix64, text_strings
 
 MIN_WORDS = 25
+BLANKS = " \t\n\x0b\f\r"
 #: Of an occurrence: fingerprint line, 128 bits of the window's content with the fingerprint's place in it, document, first line, lines.
 KINDS = ["u8", "u8", "u8", "i8", "i4", "i4"]
 LATER = ["i8", "i4", "i4"]
@@ -59,10 +60,9 @@ def content(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
 
 
 def occurrences(text: str, min_words: int) -> list[np.ndarray] | None:
-    """Fingerprint, content (2), first line and lines of every window, lines numbered as they stand in the text."""
+    """Fingerprint, content (2), first line and lines of every window; lines with words are numbered, others are not."""
     lines = text.split("\n")
     words = [line_words(x) for x in lines]
-    own = np.array([i for i, w in enumerate(words) if w], dtype=np.int64)
     counts = np.array([len(w) for w in words if w], dtype=np.int64)
     first, last = windows(counts, min_words)
     if not len(first):
@@ -70,7 +70,7 @@ def occurrences(text: str, min_words: int) -> list[np.ndarray] | None:
     hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words if w], dtype=np.uint64)
     fp = np.array([hashes[a : b + 1].min() for a, b in zip(first, last)], dtype=np.uint64)
     a, b = content(hashes, first, last)
-    return [fp, a, b, own[first].astype(np.int32), (own[last] - own[first] + 1).astype(np.int32)]
+    return [fp, a, b, first.astype(np.int32), (last - first + 1).astype(np.int32)]
 
 
 def firsts_and_later(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -88,7 +88,7 @@ def firsts_and_later(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines to delete: doc_id, lines (array<int>, sorted, from 0); documents without any are left out.
+    """Lines to delete: doc_id, lines (array<int>, sorted, from 0, lines without words not counted); documents without any are left out.
 
     Windows are exchanged once, by fingerprint. A mapper sends each content once per flush, so that a frequent passage
     neither fills a bucket nor meets itself in pairs.
@@ -134,12 +134,14 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id
 
 
 def without_lines(docs: DataFrame, lines: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the given lines deleted from their texts, and a column __deleted of how many; lines without words inside a run go with it."""
+    """docs with the given lines deleted from their texts, and a column __deleted of how many; lines without words stay."""
     gone = lines.select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__gone"))
     both = docs.join(gone, docs[doc_id].cast("bigint") == F.col("__doc"), "left").withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(F.col(f"`{text}`"), "\n", -1)))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
+    both = both.withColumn("__own", F.filter(F.transform("__parts", lambda x, i: F.when(F.btrim(x, F.lit(BLANKS)) != "", i)), lambda i: i.isNotNull()))
+    gone_at = F.transform("__gone", lambda o: F.get("__own", o))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), gone_at)
     rest = F.array_join(F.transform(stay, lambda i: F.col("__parts")[i]), "\n")
-    return both.withColumn(text, F.when(F.col("__gone").isNotNull(), rest).otherwise(F.col(f"`{text}`"))).withColumn("__deleted", F.coalesce(F.array_size("__gone"), F.lit(0)).cast("bigint")).drop("__doc", "__gone", "__parts")
+    return both.withColumn(text, F.when(F.col("__gone").isNotNull(), rest).otherwise(F.col(f"`{text}`"))).withColumn("__deleted", F.coalesce(F.array_size("__gone"), F.lit(0)).cast("bigint")).drop("__doc", "__gone", "__parts", "__own")
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
