@@ -28,7 +28,8 @@ def merge_groups(df: DataFrame, keys: Sequence[str], mask: str = "mask", weight:
     marks = F.flatten(F.transform("__runs", lambda r: F.array(F.struct(r["s"].alias("at"), F.col("__k").alias("by")), F.struct(r["e"].alias("at"), (-F.col("__k")).alias("by")))))
     first = F.array(F.struct(F.lit(0).alias("at"), (F.col("__k") * 0).alias("by")))
     marked = rows.select(*keys, "__h", "__w", F.explode(F.concat(first, marks)).alias("__m"))
-    sums = marked.groupBy(*keys, F.col("__m.at").alias("__at")).agg(F.sum("__m.by").alias("__by"), F.max("__h").alias("__h"), F.max("__w").alias("__w"), F.assert_true((F.min("__h") == F.max("__h")) & (F.min("__w") == F.max("__w")), F.lit("masks differ in extent")).alias("__ok"))
+    one = F.assert_true((F.min("__h") == F.max("__h")) & (F.min("__w") == F.max("__w")), F.lit("masks differ in extent"))
+    sums = marked.groupBy(*keys, F.col("__m.at").alias("__at")).agg(F.sum("__m.by").alias("__by"), F.when(one.isNull(), F.max("__h")).alias("__h"), F.max("__w").alias("__w"))
     counts = df.groupBy(*keys).agg(F.count(mask).alias("__n"))
     sums = sums.join(counts, keys)
     order = Window.partitionBy(*keys).orderBy("__at")
