@@ -6,10 +6,9 @@ minimum over contiguous slices. Bands of coordinates bring similar sets together
 full shingle sets.
 
 Groups of any size are handled without forming all their pairs. Equal sets are one class. In a group every member is compared with one pivot, the
-class with most copies. Members that are linked to the pivot are connected. For the rest the sets are split into what they share with the
+most central. Members that are linked to the pivot are connected. For the rest the sets are split into what they share with the
 pivot and what they don't (own shingles): two members without a common own shingle share at most the lesser of their overlaps with the
-pivot, which rules out nearly all pairs by counting; members with a common own shingle form new, smaller groups. Only groups up to
-SMALL members are compared pair by pair.
+pivot, which rules out nearly all pairs by counting; members with a common own shingle form new, smaller groups. Only small groups are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -158,10 +157,20 @@ def cross_pairs(members: DataFrame, key: list[str]) -> DataFrame:
 
 
 def links(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame:
-    """Links (a, b), a similarity of 4 in 5 or more, that connect whatever the pairs within groups (g, doc, weight) connect."""
+    """Links (a, b), a similarity of 4 in 5 or more, that connect whatever the pairs within groups (g, doc, weight) connect.
+
+    The pivot of a group is its most central member: that in the most and largest groups. In a family of edited copies this is one with few
+    edits, to which nearly all that can be linked is linked at once. What remains goes round again in groups of a common own shingle; the bound
+    for comparing pair by pair doubles each round.
+    """
+    small = SMALL
     found: list[DataFrame] = []
     pairs: list[DataFrame] = []
     texts: DataFrame | None = None
+    sizes = groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    groups = stored(groups.join(sizes, "g"), "groups")
+    central = groups.groupBy("doc").agg(F.sum("m").alias("central"))
+    groups = stored(groups.drop("weight", "m").join(central, "doc").select("g", "doc", F.col("central").alias("weight")), "central")
     while True:
         per = groups.groupBy("g").agg(F.count("*").alias("m"), F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("pivot")).filter("m > 1")
         members = stored(groups.join(per, "g").filter("doc <> pivot").select("g", "doc", "weight", "pivot", "m"), "members")
@@ -172,8 +181,8 @@ def links(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame:
         seen = members.join(star.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "linked"), ["doc", "pivot"])
         unsettled = seen.filter("m > 2").groupBy("g").agg(F.min("linked").alias("all")).filter("NOT all").select("g")
         seen = stored(seen.join(unsettled, "g"), "unsettled")
-        pairs.append(cross_pairs(seen.filter(F.col("m") <= SMALL), ["g"]))
-        large = seen.filter(F.col("m") > SMALL).select("pivot", "doc", "weight").distinct()
+        pairs.append(cross_pairs(seen.filter(F.col("m") <= small), ["g"]))
+        large = seen.filter(F.col("m") > small).select("pivot", "doc", "weight").distinct()
         if large.isEmpty():
             break
         family = star.withColumnsRenamed({"a": "doc", "b": "pivot"}).join(large, ["doc", "pivot"])
@@ -191,10 +200,11 @@ def links(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame:
         token = stored(own.select("b", F.col("a").alias("doc"), "weight", "linked", F.explode("own").alias("s")).select(F.xxhash64("b", "s").alias("g"), "doc", "weight", "linked"), "own")
         shared = token.groupBy("g").agg(F.count("*").alias("m"), F.min("linked").alias("all")).filter("m > 1 AND NOT all").select("g", "m")
         token = token.join(shared, "g")
-        pairs.append(cross_pairs(token.filter(F.col("m") <= SMALL), ["g"]))
-        groups = stored(token.filter(F.col("m") > SMALL).select("g", "doc", "weight"), "groups")
+        pairs.append(cross_pairs(token.filter(F.col("m") <= small), ["g"]))
+        groups = stored(token.filter(F.col("m") > small).select("g", "doc", "weight"), "groups")
         if groups.isEmpty():
             break
+        small *= 2
     rest = pairs[0]
     for p in pairs[1:]:
         rest = rest.union(p)
