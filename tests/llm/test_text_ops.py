@@ -89,10 +89,10 @@ def test_minhash(docs, nothing, monkeypatch, small):
 
 
 def test_minhash_repeated_and_null_ids(spark):
-    t = sentence(random.Random(1), 30)
+    t = " ".join(f"Word{i}" for i in range(30))
     df = spark.createDataFrame([(1, t), (1, t), (2, t.upper()), (None, t), (3, None)], "doc_id bigint, text string")
     got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
-    assert [g for g in got if g[0] > 0] == [(1, 1, True), (1, 1, True), (2, 1, False) if t.upper().lower() == t.lower() and "Ü" not in t.upper() and "Ï" not in t.upper() else (2, 2, True), (3, 3, True)]
+    assert [g for g in got if g[0] > 0] == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
 
 
 def test_hot_group_without_all_pairs(spark):
