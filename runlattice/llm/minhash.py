@@ -118,16 +118,23 @@ def overlaps(k: int) -> object:
 
 
 def own_shingles(k: int) -> object:
-    """UDF of (a, za, b, zb): the shingles of a that b lacks."""
+    """UDF of (a, za, b, zb, least): the first of the shingles of a that b lacks, in order of their hashes.
+
+    Two members share at most the lesser of their overlaps with b besides own shingles, so a link needs so many common own ones; that no
+    partner is smaller than least or than 4 in 5 of a bounds this number from below, and one of as many fewer first ones is common.
+    """
 
     @F.arrow_udf("array<bigint>")
-    def udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held: dict[int, np.ndarray] = {}
-        for a, za, b, zb in batches:
+        for a, za, b, zb, least in batches:
             out = []
-            for x, y in zip(_sets(za, a.to_pylist(), k, held), _sets(zb, b.to_pylist(), k, held)):
+            for x, y, low in zip(_sets(za, a.to_pylist(), k, held), _sets(zb, b.to_pylist(), k, held), least.to_pylist()):
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                out.append(x[y[at] != x].view(np.int64))
+                own = x[y[at] != x]
+                partner = max(low, -(-NUMERATOR * len(x) // DENOMINATOR))
+                need = max(1, -(-NUMERATOR * (len(x) + partner) // (NUMERATOR + DENOMINATOR)) - (len(x) - len(own)))
+                out.append(own[: max(0, len(own) - need + 1)].view(np.int64))
             yield pa.array(out, pa.list_(pa.int64()))
 
     return udf
@@ -195,8 +202,8 @@ def links(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame:
         could = similar(F.least("c1", "c2"), F.col("n1"), F.col("n2")) & (F.col("a") != F.col("b"))
         pairs.append(left.join(right, "pivot").filter(could).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         # Pairs with a common own shingle.
-        edges = family.select(F.col("doc").alias("a"), F.col("pivot").alias("b"), "weight", "linked")
-        own = with_texts(edges, texts).select("a", "b", "weight", "linked", own_shingles(k)("a", "za", "b", "zb").alias("own"))
+        edges = near.select(F.col("doc").alias("a"), F.col("pivot").alias("b"), "weight", "linked", "least")
+        own = with_texts(edges, texts).select("a", "b", "weight", "linked", own_shingles(k)("a", "za", "b", "zb", "least").alias("own"))
         token = stored(own.select("b", F.col("a").alias("doc"), "weight", "linked", F.explode("own").alias("s")).select(F.xxhash64("b", "s").alias("g"), "doc", "weight", "linked"), "own")
         shared = token.groupBy("g").agg(F.count("*").alias("m"), F.min("linked").alias("all")).filter("m > 1 AND NOT all").select("g", "m")
         token = token.join(shared, "g")
