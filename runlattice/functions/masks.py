@@ -44,7 +44,7 @@ def to_arrow(masks: Sequence[Mask | None]) -> pa.Array:
     ends = np.cumsum([0, *(0 if m is None else len(m.counts) for m in masks)], dtype=np.int32)
     flat = np.concatenate([m.counts for m in masks if m is not None]) if any(m is not None for m in masks) else np.empty(0)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-    return pa.StructArray.from_arrays([pa.array([m and m.h for m in masks], pa.int32()), pa.array([m and m.w for m in masks], pa.int32()), lists], fields=list(MASK_ARROW), mask=pa.array([m is None for m in masks]))
+    return pa.StructArray.from_arrays([pa.array([m and m.h for m in masks], pa.int32()), pa.array([m and m.w for m in masks], pa.int32()), lists], fields=list(MASK_ARROW), mask=pa.array([m is None for m in masks], pa.bool_()))
 
 
 def _values(array: pa.Array) -> list:
@@ -61,7 +61,7 @@ def _result(values: list, result: str) -> pa.Array:
         return to_arrow(values)
     if result == f"array<{MASK}>":
         ends = np.cumsum([0, *(len(v or []) for v in values)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), to_arrow([m for v in values for m in (v or [])]), mask=pa.array([v is None for v in values]))
+        return pa.ListArray.from_arrays(pa.array(ends), to_arrow([m for v in values for m in (v or [])]), mask=pa.array([v is None for v in values], pa.bool_()))
     types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64())}
     if result in types:
         return pa.array(values, types[result])
