@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlattice.llm.common import ensure_workers_import, shared_dir
+from runlattice.llm.common import ensure_workers_import, shared_dir, stored
 
 #: Options of Spark's ORC writer.
 ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
@@ -94,7 +94,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Where each document's ids lie in the whole sequence: doc_id, start, n_tokens, ids_crc32.
 
-    Only counts and checksums leave the readers. Each file's rows are summed in id order within the file and moved on by the total of the
+    The files are read once; only counts and checksums leave the readers, as a small stored table. Each file's rows are summed in id order within the file and moved on by the total of the
     files before it; rows with the same id are ordered by checksum.
     """
     ensure_workers_import(spark)
@@ -107,6 +107,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids").mapInArrow(measured, "file string, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = stored(rows, "token_index")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
     base = files.select("file", (F.sum("total").over(Window.orderBy(F.col("first").asc_nulls_first(), "file")) - F.col("total")).alias("base"))
     within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
