@@ -21,16 +21,14 @@ from runlattice.llm.common import ensure_workers_import
 
 #: Most labelled documents that the lexicon and the model are learnt from: those with the least hash of their id.
 TRAINING_DOCS = 20_000
-#: Most terms of the lexicon, and the least z-value of a term's log odds.
-LEXICON_TERMS, LEAST_Z = 512, 3.0
+#: Least z-value of a term's log odds. It asks for some number of documents, not for a share of them, so the words of a small language can pass.
+LEAST_Z = 3.0
 #: Least log odds of a term: what it adds to those of a document without it.
 LEAST_ODDS = 4.0
 #: Lengths of stems: beginnings of words that count as terms, written with a star, where many different endings follow.
 STEM_LENGTHS = (4, 5, 6)
 #: A stem is left out if one word makes up this share of it.
 STEM_OF_ONE = 0.5
-#: Least part of the toxic documents that hold a term: rarer words pass the test by chance.
-LEAST_SHARE = 0.03
 #: Words on each side of a hit that are its context.
 WINDOW = 6
 #: Most distinct words that a worker remembers; beyond it the memory is emptied.
@@ -42,6 +40,8 @@ REPORTING = frozenset("said says say called calls call term word quote quoted wr
 ADDRESS = frozenset("you your you're youre yourself du dein deine dich ihr euch tu toi ton ta vous votre tú usted eres".split())
 EDGES = " \t\n.,;:!?()[]{}<>|*%&#~+=/\\_-" + QUOTES
 N_FEATURES = 10
+#: Pairs of word and branch that are followed together, and the most letters of such words: positions are bits of 64.
+TOGETHER, MOST_LETTERS = 8192, 62
 
 
 def allowed(term: str) -> int:
@@ -76,6 +76,30 @@ class Trie:
                 for a in range(at - e + 1, at + e):
                     self.middles.setdefault(len(piece), set()).add((a, piece))
         self.lengths = {n + d for t in terms for n in [len(t)] for d in range(-allowed(t), allowed(t) + 1)}
+        self.longest = max(self.lengths, default=0)
+        self.stems = {t[:-1]: i for i, t in reversed(list(enumerate(terms))) if t.endswith("*")}
+        self.pieces = self._pieces()
+        self.alphabet = np.array(sorted({ord(c) for t in terms for c in t}), dtype=np.uint32)
+        self.size = np.array([len(t) for t in terms], dtype=np.int64)
+        self.errors = np.array([allowed(t) for t in terms], dtype=np.int64)
+        self.letters = np.zeros((len(terms), max(map(len, terms), default=0)), dtype=np.int64)
+        for i, t in enumerate(terms):
+            self.letters[i, : len(t)] = np.searchsorted(self.alphabet, [ord(c) for c in t])
+
+    def _pieces(self) -> dict[int, list[tuple[int, int, dict[str, set[int]]]]]:
+        """By the letters of a word: places in it, and the terms that can be near if the word has their piece there.
+
+        Of errors + 1 pieces one is whole and, of those that are, one is moved by no more errors than there are pieces before it, and for the rest of the term than pieces after it.
+        """
+        found: dict[int, dict[tuple[int, int], dict[str, set[int]]]] = {}
+        for i, term in enumerate(self.terms):
+            e = allowed(term)
+            cuts = [len(term) * j // (e + 1) for j in range(e + 2)]
+            for d in range(-e, e + 1) if not term.endswith("*") else ():
+                for j, (p, q) in enumerate(zip(cuts, cuts[1:])):
+                    for a in range(max(p - j, p + d - (e - j), 0), min(p + j, p + d + (e - j)) + 1):
+                        found.setdefault(len(term) + d, {}).setdefault((a, a + q - p), {}).setdefault(term[p:q], set()).add(i)
+        return {n: [(a, b, some) for (a, b), some in places.items()] for n, places in found.items()}
 
     def possible(self, word: str) -> bool:
         """Whether a term can be near at all: of its errors + 1 pieces one is whole, the first one in front, the last one at the end, one between near its place."""
@@ -88,6 +112,9 @@ class Trie:
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(term, errors) of the nearest term within its allowed errors, the first of equals; None if there is none."""
         n = len(word)
+        if n > self.longest:
+            found = [self.stems[word[:m]] for m in {len(s) for s in self.stems} if word[:m] in self.stems]
+            return (min(found), 0) if found else None
         if (n not in self.lengths and n < self.stem) or not self.possible(word):
             return None
         masks: dict[str, int] = {}
@@ -120,6 +147,61 @@ class Trie:
                     stack.append((child, now))
         return best
 
+    def nearest_of_each(self, words: list[str]) -> list[tuple[int, int] | None]:
+        """nearest() of many words: each automaton runs down the branches of the trie that end in a term with a piece of the word, all a letter at a time."""
+        out: list[tuple[int, int] | None] = [None] * len(words)
+        lengths = sorted({len(s) for s in self.stems})
+        owners: list[int] = []
+        terms: list[int] = []
+        for i, w in enumerate(words):
+            if len(w) > MOST_LETTERS:
+                out[i] = self.nearest(w)
+                continue
+            begun = [self.stems[w[:n]] for n in lengths if w[:n] in self.stems]
+            if begun:
+                out[i] = (min(begun), 0)
+            possible: set[int] = set()
+            for a, b, some in self.pieces.get(len(w), ()):
+                if (found := some.get(w[a:b])) is not None:
+                    possible |= found
+            owners += [i] * len(possible)
+            terms += possible
+        owner, term = np.array(owners, dtype=np.int64), np.array(terms, dtype=np.int64)
+        for a in range(0, len(owner), TOGETHER):
+            own, row = np.unique(owner[a : a + TOGETHER], return_inverse=True)
+            for i, t, e in zip(*self._accepted([words[i] for i in own], row, term[a : a + TOGETHER])):
+                i = int(own[i])
+                if out[i] is None or (e, t) < (out[i][1], out[i][0]):
+                    out[i] = (t, e)
+        return out
+
+    def _accepted(self, words: list[str], row: np.ndarray, term: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """Word, term and errors of the pairs whose automaton accepts."""
+        n = np.array([len(w) for w in words], dtype=np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        known = self.alphabet[at] == codes
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+        masks = np.zeros((len(words), len(self.alphabet)), dtype=np.uint64)
+        np.bitwise_or.at(masks, (np.repeat(np.arange(len(words)), n)[known], at[known]), _BITS[place[known]])
+        full, one, out = _BITS[n + 1] - _BITS[0], np.uint64(1), []
+        states = [(_BITS[e + 1] - _BITS[0]) & full[row] for e in range(int(self.errors[term].max()) + 1)]
+        for depth in range(int(self.size[term].max()) + 1):
+            over = self.size[term] == depth
+            for e, state in enumerate(states):
+                out.append([x[over & (self.errors[term] >= e) & (state & _BITS[n[row]] != 0)] for x in (row, term)] + [e])
+            m, own = masks[row, self.letters[term, min(depth, self.letters.shape[1] - 1)]], full[row]
+            now = [(states[0] & m) << one]
+            for e in range(1, len(states)):
+                before = states[e - 1]
+                now.append(((states[e] & m) << one | before | before << one | now[-1] << one) & own)
+            alive = ~over & np.logical_or.reduce([(x != 0) & (self.errors[term] >= e) for e, x in enumerate(now)])
+            row, term, states = row[alive], term[alive], [x[alive] for x in now]
+        return [i for r, _, _ in out for i in r.tolist()], [i for _, t, _ in out for i in t.tolist()], [e for r, _, e in out for _ in range(len(r))]
+
+
+_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
 
 def normal(word: str) -> str:
     return word.strip(EDGES).lower()
@@ -143,6 +225,23 @@ class Matcher(dict):
         self[word] = got
         return got
 
+    def meet(self, texts: list[str]) -> None:
+        """Looks up the words of some texts that aren't known yet, together."""
+        new = {w for t in texts for w in t.split()} - self.keys()
+        if len(self) + len(new) > MEMO:
+            self.clear()
+            new = {w for t in texts for w in t.split()}
+        plain = {w: normal(w) for w in new}
+        found = self._nearest(set(plain.values()))
+        other = {p: t for p, got in found.items() if (got is None or got[1]) and (t := p.translate(STAND_INS)) != p}
+        stood_in = self._nearest(set(other.values()))
+        for w, p in plain.items():
+            got, near = found[p], stood_in.get(other.get(p, ""))
+            self[w] = (near[0], max(1, near[1])) if near and (got is None or near[1] < got[1]) else got
+
+    def _nearest(self, words: set[str]) -> dict[str, tuple[int, int] | None]:
+        return dict(zip(words, self.trie.nearest_of_each(list(words))))
+
 
 def features(text: str, match: Matcher, weight: np.ndarray) -> np.ndarray:
     """Of one text: exact, misspelled and quoted hits, hits that address a reader, and their density, by the terms' log odds."""
@@ -219,7 +318,7 @@ def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DO
     """Learns lexicon and weights from labelled rows whose crc32(doc_id) mod 5 isn't 0, training_docs at most.
 
     Rows without id or label aren't used; where an id has several labels, toxic wins. Word counts are summed by Spark; the driver receives
-    LEXICON_TERMS terms and one feature row per training document, both bounded. Without training rows of both kinds every score is the share of toxic ones.
+    the terms, each found in several training documents, and one feature row per training document, both bounded by training_docs. Without training rows of both kinds every score is the share of toxic ones.
     """
     ensure_workers_import(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IS NOT NULL AND crc32(CAST(CAST(id AS STRING) AS BINARY)) % 5 <> 0")
@@ -246,15 +345,17 @@ def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DO
     log_odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     z = log_odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     good_terms = counts.filter("word <> '' AND length(word) <= 40").select("word", "bad", log_odds.alias("odds"), z.alias("z"))
-    good_terms = good_terms.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS) & (F.col("bad") >= LEAST_SHARE * bad))
-    terms = chosen(good_terms.orderBy(F.desc("z"), "word").limit(4 * LEXICON_TERMS).collect())[:LEXICON_TERMS]
+    good_terms = good_terms.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
+    terms = chosen(good_terms.collect())
     model = Model([r["word"] for r in terms], [r["odds"] for r in terms], np.zeros(N_FEATURES))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(Trie(sent.value.terms))
         for batch in batches:
-            x = [features(t or "", match, sent.value.odds).tolist() for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            match.meet(texts)
+            x = [features(t, match, sent.value.odds).tolist() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["doc_id", "x", "toxic"])
 
     got = sorted(rows.mapInArrow(measured, "doc_id bigint, x array<double>, toxic int").collect(), key=lambda r: (r["doc_id"], r["x"]))
@@ -277,7 +378,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
         if not matchers:
             matchers.append(Matcher(Trie(m.terms)))
         for col in batches:
-            yield pa.array([float(1 / (1 + np.exp(-np.clip(features(t.as_py() or "", matchers[0], m.odds) @ m.weights, -30, 30)))) for t in col], pa.float64())
+            texts = [t or "" for t in col.to_pylist()]
+            matchers[0].meet(texts)
+            yield pa.array([float(1 / (1 + np.exp(-np.clip(features(t, matchers[0], m.odds) @ m.weights, -30, 30)))) for t in texts], pa.float64())
 
     return docs.withColumn(out, score(F.col(f"`{text}`")))
 

@@ -368,3 +368,38 @@ def test_toxicity_learns(spark, nothing):
     assert toxicity.judged(nothing, lab).count() == 0
     assert {x["predicted"] for x in toxicity.judged(docs, lab.filter("false")).collect()} == {0}
     assert toxicity.without_toxic(docs.withColumn("score", F.lit("own")), lab).columns == ["doc_id", "text", "score"]
+
+
+def test_automata_together_find_what_distances_find():
+    r = random.Random(16)
+    letters = "abcdeé"
+    for _ in range(4):
+        terms = sorted({"".join(r.choice(letters) for _ in range(r.randrange(2, 12))) for _ in range(40)})
+        words = ["".join(r.choice(letters + "*") for _ in range(r.randrange(0, 14))) for _ in range(150)] + ["a" * 70]
+        for t in terms * 3:
+            w = list(t)
+            for _ in range(r.randrange(1, 4)):
+                i = r.randrange(len(w) + 1)
+                w[i : i + r.randrange(0, 2)] = r.choice(["", "x", "a", "bc"])
+            words.append("".join(w))
+        near = [[(distance(w, t), i) for i, t in enumerate(terms) if distance(w, t) <= toxicity.allowed(t)] for w in words]
+        assert toxicity.Trie(terms).nearest_of_each(words) == [(min(x)[1], min(x)[0]) if x else None for x in near]
+    assert toxicity.Trie(["lowe*"]).nearest_of_each(["loweian", "lowly", "lowe" * 20]) == [(0, 0), None, (0, 0)]
+
+
+def test_toxicity_learns_the_words_of_a_small_language(spark):
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(3000):
+        small = i % 40 == 0
+        bad = (i // 40) % 12 == 0 if small else i % 10 == 0
+        w = (["otro", "texto", "breve"] * 8 if small else sentence(r, 20).split())
+        if bad:
+            w.insert(r.randrange(len(w)), "malvado" if small else r.choice(["grumble", "snarl"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.learned(docs, lab)
+    n_bad = sum(y for i, y in labels if zlib.crc32(str(i).encode()) % 5)
+    assert 0 < sum("malvado" in t for i, t in rows if zlib.crc32(str(i).encode()) % 5) < 0.03 * n_bad
+    assert "malvado" in model.terms or "malv*" in model.terms
