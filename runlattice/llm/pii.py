@@ -203,7 +203,8 @@ PATTERNS: tuple[tuple[str, str, Callable[[Feistel, str], str | None]], ...] = (
     ("card", r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])", card),
 )
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in PATTERNS))
-LIKELY = re.compile(r"@|[0-9](?:[^0-9\n]{0,2}[0-9]){5}|[0-9A-Fa-f]{32}|AKIA|(?:gh[pousr]|sk|pk|xox[abp])[_\-]")
+#: Some part of every pattern's values: six digits close together are in each kind of number but short addresses.
+LIKELY = re.compile(r"@|[0-9](?:[^0-9\n]{0,2}[0-9]){5}|[0-9](?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{32}|AKIA|(?:gh[pousr]|sk|pk|xox[abp])[_\-]")
 
 
 class Masker:

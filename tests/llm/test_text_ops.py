@@ -134,6 +134,12 @@ def test_pii(spark, nothing):
     assert pii.pseudonymised(nothing).count() == 0
 
 
+def test_pii_of_each_kind_alone_in_its_shortest_form():
+    shortest = [("email", "a@b.co"), ("phone", "234 555 3824"), ("card", "4111111111119"), ("ip", "8.8.8.8"), ("ip", "10.0.0.1"), ("date", "1.2.2000"), ("date", "2000-1-2"), ("ssn", "219-09-9999"), ("iban", "NO9386011117947"), ("secret", "ab12" * 8), ("secret", "sk-" + "a1" * 8), ("secret", "AKIA" + "A1" * 8)]
+    for kind, value in shortest:
+        assert dict(zip(pii.KINDS, pii.Masker(b"k").text(f"at {value} it")[1]))[kind] == 1, value
+
+
 # -- token output, BPE
 
 
