@@ -110,34 +110,47 @@ def _scanned(docs: DataFrame, items: list[tuple[int, bytes]], k: int) -> DataFra
 
 
 def _shuffled(docs: DataFrame, bench: DataFrame, k: int) -> DataFrame:
-    """The same search for benchmarks that are too large to send: sketches and documents meet by shingle hash."""
+    """The same search for benchmarks that are too large to send: sketches and documents meet by shingle length and hash.
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = {"id": [], "size": [], "hash": [], "sketch": []}
-            for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                h = distinct_sorted(shingle_hashes(item_words(t), k)).view(np.int64)
-                n = len(h)
-                rows["id"] += [i] * n
-                rows["size"] += [n] * n
-                rows["hash"] += h.tolist()
-                rows["sketch"] += [j <= n - needed(n) for j in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows["id"], pa.int64()), pa.array(rows["size"], pa.int64()), pa.array(rows["hash"], pa.int64()), pa.array(rows["sketch"], pa.bool_())], list(rows))
-
-    schema = "id bigint, size bigint, hash bigint, sketch boolean"
-    items = bench.mapInArrow(shingled, schema).select(F.col("id").alias("item_id"), F.col("size").alias("n"), "hash", "sketch")
-    own = docs.mapInArrow(shingled, schema).select(F.col("id").alias("doc_id"), F.col("size").alias("doc_n"), "hash")
-    pairs = own.join(items.filter("sketch"), "hash").filter(F.col("doc_n") * DENOMINATOR >= F.col("n") * NUMERATOR).select("doc_id", "item_id", "n").distinct()
-    shared = pairs.join(items.select("item_id", "hash"), "item_id").join(own.select("doc_id", "hash").distinct(), ["doc_id", "hash"])
-    counts = shared.groupBy("doc_id", "item_id").agg(F.first("n").alias("n_item_shingles"), F.count("*").alias("n_shared"))
-    return counts.filter(F.col("n_shared") * DENOMINATOR >= F.col("n_item_shingles") * NUMERATOR)
+    Equal rows go through the joins as one and repeat their pairs at the end.
+    """
+
+    def shingled(df: DataFrame, lengths: list[int] | None) -> DataFrame:
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = {"key": [], "id": [], "times": [], "m": [], "size": [], "hash": [], "sketch": []}
+                for key, i, times, t in zip(*(batch.column(c).to_pylist() for c in range(3)), text_bytes(batch.column(3))):
+                    words = item_words(t)
+                    for m in [min(k, len(words))] if lengths is None else lengths:
+                        if not 0 < m <= len(words):
+                            continue
+                        h = distinct_sorted(shingle_hashes(words, m))
+                        n = len(h)
+                        for c, x in zip(("key", "id", "times", "m", "size"), (key, i, times, m, n)):
+                            rows[c] += [x] * n
+                        rows["hash"] += h.view(np.int64).tolist()
+                        rows["sketch"] += [j <= n - needed(n) for j in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if c == "sketch" else pa.int64()) for c, x in rows.items()], list(rows))
+
+        each = df.groupBy("id", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("times"))
+        return each.select(F.xxhash64("id", "text").alias("key"), "id", "times", "text").mapInArrow(mapped, "key bigint, id bigint, times bigint, m bigint, size bigint, hash bigint, sketch boolean")
+
+    items = shingled(bench, None).select(F.col("key").alias("item"), F.col("id").alias("item_id"), F.col("times").alias("item_times"), "m", F.col("size").alias("n"), "hash", "sketch")
+    lengths = sorted(r["m"] for r in items.select("m").distinct().collect())
+    own = shingled(docs, lengths).select(F.col("key").alias("doc"), F.col("id").alias("doc_id"), F.col("times").alias("doc_times"), "m", F.col("size").alias("doc_n"), "hash")
+    fits = F.col("doc_n") * DENOMINATOR >= F.col("n") * NUMERATOR
+    pairs = own.join(items.filter("sketch"), ["m", "hash"]).filter(fits).select("doc", "doc_id", "doc_times", "item", "item_id", "item_times", "m", "n").distinct()
+    shared = pairs.join(items.select("item", "hash"), "item").join(own.select("doc", "m", "hash"), ["doc", "m", "hash"])
+    counts = shared.groupBy("doc", "doc_id", "doc_times", "item", "item_id", "item_times", "n").agg(F.count("*").alias("n_shared"))
+    found = counts.filter(F.col("n_shared") * DENOMINATOR >= F.col("n") * NUMERATOR)
+    return found.select("doc_id", "item_id", F.col("n").alias("n_item_shingles"), "n_shared", F.explode(F.sequence(F.lit(1), F.col("doc_times") * F.col("item_times"))).alias("__time")).drop("__time")
 
 
 def contained(docs: DataFrame, bench: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """Pairs of document and benchmark item of whose distinct k-word shingles the document holds 4 in 5 or more.
 
     Words are runs of other than ASCII white space, A-Z lower-cased. An item of fewer than k words is one shingle of its length, looked for among the
-    document's shingles of that length (larger benchmarks, joined by shuffle: only in a document of just these words). Items and documents without words match nothing. Returns one row per pair:
+    document's shingles of that length. Items and documents without words match nothing. Returns one row per pair:
     doc_id, item_id, n_item_shingles, n_shared; repeated rows repeat their pairs; no rows for empty tables. Documents are scanned
     once, without a shuffle, while the items stay below broadcast_shingles words, which is counted first.
     """

@@ -287,6 +287,14 @@ def test_decontamination(spark, docs, nothing, limit):
     assert decontaminate.contained(nothing, bench).count() == 0 and decontaminate.contained(docs, bench.filter("false")).count() == 0
 
 
+def test_decontamination_by_shuffle_gives_the_rows_of_the_scan(spark):
+    long = "a b c d e f g h i j k l m n"
+    docs = spark.createDataFrame([(1, "x " + long), (2, "say one two now"), (3, "one two"), (4, "a b c d e f g h i q r s t u"), (3, "one two"), (5, None), (None, long)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, long), (1, long), (2, "one two"), (3, "now"), (4, ""), (None, "one two")], "item_id int, text string")
+    rows = [sorted(map(tuple, decontaminate.contained(docs, bench, broadcast_shingles=n).collect()), key=str) for n in (2_000_000, 0)]
+    assert rows[0] == rows[1] and (2, 2, 1, 1) in rows[0] and all(r[0] != 4 for r in rows[0])
+
+
 # -- lines
 
 
