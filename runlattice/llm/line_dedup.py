@@ -1,9 +1,9 @@
 """Line deduplication by winnowing over line hashes.
 
 The lines of a document that hold words are a sequence of hashes. A window is a shortest stretch of neighbouring lines with min_words words. Of every window the line with the least hash
-is selected as its fingerprint; neighbouring windows mostly share it. Two repeats of min_words words have a window in common, and so the same
-fingerprint. Occurrences meet by fingerprint. A fingerprint line is extended both ways to the windows that select it: those that end at a line as well as
-those that start at one, since together they cover every repeated run of min_words words exactly. Of the windows that are equal, line by line,
+is its fingerprint, which picks the bucket where its occurrences meet. All windows are sent, with a 128-bit hash of their content, and compared by it; none is
+left out by winnowing, and no match is extended. Windows that end at a line as well as those that start at one are taken, since together they cover every
+repeated run of min_words words exactly. Of the windows that are equal, line by line,
 all but the first (least doc_id, then place) are later copies, and their lines are deleted.
 """
 
