@@ -300,7 +300,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def chosen(rows: list) -> list:
-    """Terms without overlap: a stem only where no single word makes up most of it, the shortest that does, and words that no stem covers."""
+    """All words, those that a stem covers too, as only words may have errors; a stem only where no single word makes up most of it, the shortest that does."""
     words = {r["word"]: r for r in rows if not r["word"].endswith("*")}
     most: Counter = Counter()
     for w, r in words.items():
@@ -310,8 +310,7 @@ def chosen(rows: list) -> list:
     for r in sorted((r for r in rows if r["word"].endswith("*")), key=lambda r: (len(r["word"]), r["word"])):
         if most[r["word"]] < STEM_OF_ONE * r["bad"] and not any(r["word"][:n] + "*" in stems for n in STEM_LENGTHS if n < len(r["word"]) - 1):
             stems[r["word"]] = r
-    kept = [r for w, r in words.items() if not any(w[:n] + "*" in stems for n in STEM_LENGTHS)]
-    return sorted([*kept, *stems.values()], key=lambda r: (-r["z"], r["word"]))
+    return sorted([*words.values(), *stems.values()], key=lambda r: (-r["z"], r["word"]))
 
 
 def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS, doc_id: str = "doc_id", text: str = "text") -> Model:

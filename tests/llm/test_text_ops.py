@@ -417,3 +417,11 @@ def test_toxicity_learns_the_words_of_a_small_language(spark):
     n_bad = sum(y for i, y in labels if zlib.crc32(str(i).encode()) % 5)
     assert 0 < sum("malvado" in t for i, t in rows if zlib.crc32(str(i).encode()) % 5) < 0.03 * n_bad
     assert "malvado" in model.terms or "malv*" in model.terms
+
+
+def test_covered_words_keep_their_errors():
+    rows = [{"word": w, "bad": b, "z": z} for w, b, z in (("reeuxa*", 27, 6.0), ("reeuxan", 12, 4.0), ("reeuxal", 11, 3.5))]
+    terms = [r["word"] for r in toxicity.chosen(rows)]
+    trie = toxicity.Trie(terms)
+    assert set(terms) == {"reeuxa*", "reeuxan", "reeuxal"} and trie.nearest("reuxan") == (terms.index("reeuxan"), 1)
+    assert trie.nearest_of_each(["reuxan", "reeuxabc"]) == [trie.nearest("reuxan"), (0, 0)]
