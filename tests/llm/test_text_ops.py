@@ -406,7 +406,7 @@ def test_toxicity_learns_the_words_of_a_small_language(spark):
     rows, labels = [], []
     for i in range(3000):
         small = i % 40 == 0
-        bad = (i // 40) % 12 == 0 if small else i % 10 == 0
+        bad = (i // 40) % 12 == 0 if small else i % 8 == 1
         w = (["otro", "texto", "breve"] * 8 if small else sentence(r, 20).split())
         if bad:
             w.insert(r.randrange(len(w)), "malvado" if small else r.choice(["grumble", "snarl"]))
