@@ -27,12 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where all is one machine, a new one stands in for it."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(sc, "_runlattice_shared", None)
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = sc._runlattice_shared = "file://" + tempfile.mkdtemp(prefix="runlattice-")
     return base.rstrip("/")
 
@@ -57,6 +59,14 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't use, whatever its case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Size estimate of df's scan from Spark's statistics; no job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

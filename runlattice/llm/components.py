@@ -12,14 +12,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b), root being the least node that it reaches; nodes that are roots are left out.
 
     Each round moves links towards the least neighbour, with a map-side minimum and an equi-join that Spark can split
-    where a node has very many links; rounds grow as the logarithm of the longest chain. Every round is written to the shared folder.
+    where a node has very many links; rounds grow as the logarithm of the longest chain. Every round is written to the shared folder; the result is a stored table.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._stored_at = now._stored_at
+            return out
         before = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))

@@ -6,30 +6,40 @@ minimum over contiguous slices. Bands of coordinates bring similar sets together
 full shingle sets.
 
 Groups of any size are handled without forming all their pairs. Equal sets are one class. In a group every member is compared with one pivot, the
-most central. Members that are linked to the pivot are connected. For the rest the sets are split into what they share with the
-pivot and what they don't (own shingles): two members without a common own shingle share at most the lesser of their overlaps with the
-pivot, which rules out nearly all pairs by counting; members with a common own shingle form new, smaller groups. Only small groups are compared pair by pair.
+most central; members that are linked are one component, and groups within one component are settled. In the others only pairs across components matter. Where few members lie outside the
+largest component, these are compared with the rest. Otherwise sets are split into what they share with the pivot and what they don't (own shingles): two
+members have at most the lesser of their overlaps with the pivot in common besides own shingles, so a link needs a number of common own ones, and
+one of these is among the rarest own shingles of both. Members with such a shingle in common form new groups, small ones compared by pairs, large ones with a pivot of their own.
+Every step is linear in the members, and every round's tables are written to the shared folder and dropped when used.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlattice.llm.common import LOWER, _ODD, distinct_sorted, dropped, ensure_workers_import, mix64, shingle_hashes, stored, words_of
+from runlattice.llm.common import LOWER, _ODD, distinct_sorted, dropped, ensure_workers_import, fresh, mix64, shingle_hashes, stored, words_of
 from runlattice.llm.components import components
 
 PLACES_BITS = 20
 #: A pair at a similarity of 0.8 shares no band with a probability of (1 - 0.8^4)^40, below 1e-9.
 ROWS, BANDS = 4, 40
 NUMERATOR, DENOMINATOR = 4, 5
-SMALL = 16
+#: Members outside the largest component of a group that are compared with all others; at most so many pairs a member come of it.
+FEW = 8
+#: Members of a group with a rare shingle in common that are compared by pairs; larger groups get a pivot.
+SMALL = 64
+#: Edges of one document that a task of a comparison gets; more are dealt over several tasks.
+EDGES = 64
+#: Classes of set sizes: two sets of a similarity of 0.8 lie in the same class or in neighbouring ones.
+CLASS = 1.25
 SEED = 20
 
 
@@ -118,23 +128,16 @@ def overlaps(k: int) -> object:
 
 
 def own_shingles(k: int) -> object:
-    """UDF of (a, za, b, zb, least): the first of the shingles of a that b lacks, in order of their hashes.
-
-    Two members share at most the lesser of their overlaps with b besides own shingles, so a link needs so many common own ones; that no
-    partner is smaller than least or than 4 in 5 of a bounds this number from below, and one of as many fewer first ones is common.
-    """
+    """UDF of (a, za, b, zb): the shingles of a that b lacks."""
 
     @F.arrow_udf("array<bigint>")
-    def udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held: dict[int, np.ndarray] = {}
-        for a, za, b, zb, least in batches:
+        for a, za, b, zb in batches:
             out = []
-            for x, y, low in zip(_sets(za, a.to_pylist(), k, held), _sets(zb, b.to_pylist(), k, held), least.to_pylist()):
+            for x, y in zip(_sets(za, a.to_pylist(), k, held), _sets(zb, b.to_pylist(), k, held)):
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                own = x[y[at] != x]
-                partner = max(low, -(-NUMERATOR * len(x) // DENOMINATOR))
-                need = max(1, -(-NUMERATOR * (len(x) + partner) // (NUMERATOR + DENOMINATOR)) - (len(x) - len(own)))
-                out.append(own[: max(0, len(own) - need + 1)].view(np.int64))
+                out.append(x[y[at] != x].view(np.int64))
             yield pa.array(out, pa.list_(pa.int64()))
 
     return udf
@@ -146,9 +149,13 @@ def similar(common: Column, na: Column, nb: Column) -> Column:
 
 
 def with_texts(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """edges (a, b, ...) with the texts za and zb. A document b with many edges is dealt over several tasks, EDGES to each."""
+    hot = edges.groupBy("b").agg(F.ceil(F.count("*") / EDGES).cast("int").alias("parts")).filter("parts > 1")
+    dealt = edges.join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     one = texts.select(F.col("doc").alias("a"), F.col("z").alias("za"))
-    two = texts.select(F.col("doc").alias("b"), F.col("z").alias("zb"))
-    return edges.join(one, "a").join(two, "b")
+    two = texts.select(F.col("doc").alias("b"), F.col("z").alias("zb")).join(edges.select("b").distinct(), "b", "left_semi").join(hot, "b", "left")
+    two = two.select("b", "zb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(one, "a").join(two, ["b", "part"]).drop("part")
 
 
 def verified(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -156,69 +163,133 @@ def verified(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return with_texts(edges, texts).select("a", "b", overlaps(k)("a", "za", "b", "zb").alias("o")).select("a", "b", "o.*")
 
 
-def cross_pairs(members: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs (a, b) within groups of bounded size, of which a isn't linked to its pivot yet."""
-    left = members.filter("NOT linked").select(*key, F.col("doc").alias("a"))
-    right = members.select(*key, F.col("doc").alias("b"))
-    return left.join(right, key).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """members with the root of the component that each doc belongs to so far."""
+    if roots is None:
+        return members.withColumn("root", F.col("doc"))
+    return members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def pairs_with_few(members: DataFrame) -> DataFrame:
+    """Pairs across components within groups (g, doc, n, root, minor), of which one is minor, whose sizes allow a link."""
+    left = members.filter("minor").select("g", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    right = members.select("g", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    fits = (F.col("ra") != F.col("rb")) & similar(F.least("na", "nb"), F.col("na"), F.col("nb"))
+    return ordered_pairs(left.join(right, "g").filter(fits))
+
+
+def rarest(family: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Of each edge (a, b, root, na, common) to a pivot b the own shingles of a, rarest in the family first, that a link can't do without: b, s, a, root, na, common.
+
+    Shingles that one member has alone come first and meet nothing, so only shared ones are ranked. A partner has 4 in 5 of na shingles at least, which gives the number
+    of common own ones that a link needs; one of as many fewer first ones is common.
+    """
+    own = with_texts(family.select("a", "b", "root", "na", "common"), texts).select("a", "b", "root", "na", "common", own_shingles(k)("a", "za", "b", "zb").alias("own"))
+    token = stored(own.repartition("a", "b"), "own").select("b", F.explode("own").alias("s"), "a", "root", "na", "common")
+    times = token.groupBy("b", "s").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = token.join(times, ["b", "s"])
+    member = Window.partitionBy("b", "a")
+    partner = F.ceil(F.col("na") * NUMERATOR / DENOMINATOR)
+    need = F.greatest(F.lit(1), F.ceil((F.col("na") + partner) * NUMERATOR / (NUMERATOR + DENOMINATOR)) - F.col("common"))
+    ranked = shared.withColumn("rank", F.row_number().over(member.orderBy("times", "s"))).withColumn("shared", F.count("*").over(member))
+    return ranked.filter(F.col("rank") <= F.col("shared") - need + 1).select("b", "s", "a", "root", "na", "common")
 
 
-def links(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame:
-    """Links (a, b), a similarity of 4 in 5 or more, that connect whatever the pairs within groups (g, doc, weight) connect.
+def pairs_with_room(family: DataFrame) -> DataFrame:
+    """Pairs across components of a family (a, b, root, na, nb, common) that could be linked without a common own shingle: both overlaps with the pivot b are enough.
+
+    One of them isn't linked to the pivot, so the other is smaller than the pivot. They meet by classes of sizes.
+    """
+    room = (F.col("common") * (NUMERATOR + DENOMINATOR) - F.col("na") * NUMERATOR) / NUMERATOR
+    size = F.floor(F.log("na") / math.log(CLASS)).cast("int")
+    left = family.filter(~similar(F.col("common"), F.col("na"), F.col("nb"))).filter(room >= F.ceil(F.col("na") * NUMERATOR / DENOMINATOR))
+    left = left.select("b", F.explode(F.sequence(size - 1, size + 1)).alias("size"), F.col("a").alias("x"), F.col("root").alias("rx"), F.col("na").alias("nx"), F.col("common").alias("cx"))
+    right = family.filter(F.col("na") < F.col("nb")).select("b", size.alias("size"), F.col("a").alias("y"), F.col("root").alias("ry"), F.col("na").alias("ny"), F.col("common").alias("cy"))
+    could = (F.col("rx") != F.col("ry")) & similar(F.least("cx", "cy"), F.col("nx"), F.col("ny"))
+    return ordered_pairs(left.join(right, ["b", "size"]).filter(could).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def pairs_with_rare(members: DataFrame) -> DataFrame:
+    """Pairs across components within groups (b, s) of bounded size whose overlaps with the pivot and own shingles together allow a link."""
+    side = lambda x: members.select("b", "s", F.col("a").alias(x), *(F.col(c).alias(c + x) for c in ("root", "na", "common")))
+    x, y = side("x"), side("y")
+    most = F.least("commonx", "commony") + F.least(F.col("nax") - F.col("commonx"), F.col("nay") - F.col("commony"))
+    fits = (F.col("x") < F.col("y")) & (F.col("rootx") != F.col("rooty")) & similar(most, F.col("nax"), F.col("nay"))
+    return ordered_pairs(x.join(y, ["b", "s"]).filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def linked(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    return stored(verified(edges, texts, k).filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
+
+
+def joined_components(found: list[DataFrame], before: DataFrame | None) -> DataFrame:
+    edges = found[0]
+    for f in found[1:]:
+        edges = edges.union(f)
+    after = components(edges)
+    if before is not None:
+        dropped(before)
+    return after
+
+
+def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | None:
+    """(node, root) of the components that links of a similarity of 4 in 5 or more make of documents that share a group (g, doc, n); None without groups.
 
     The pivot of a group is its most central member: that in the most and largest groups. In a family of edited copies this is one with few
-    edits, to which nearly all that can be linked is linked at once. What remains goes round again in groups of a common own shingle; the bound
-    for comparing pair by pair doubles each round.
+    edits, to which nearly all that can be linked is linked at once.
     """
-    small = SMALL
     found: list[DataFrame] = []
-    pairs: list[DataFrame] = []
+    roots: DataFrame | None = None
     texts: DataFrame | None = None
-    sizes = groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    groups = stored(groups.join(sizes, "g"), "groups")
-    central = groups.groupBy("doc").agg(F.sum("m").alias("central"))
-    groups = stored(groups.drop("weight", "m").join(central, "doc").select("g", "doc", F.col("central").alias("weight")), "central")
+    groups = stored(groups.join(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g"), "g"), "groups")
     while True:
-        per = groups.groupBy("g").agg(F.count("*").alias("m"), F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("pivot")).filter("m > 1")
-        members = stored(groups.join(per, "g").filter("doc <> pivot").select("g", "doc", "weight", "pivot", "m"), "members")
-        if texts is None:  # of documents that share a group; later groups are parts of these
-            texts = stored(all_texts.join(members.select("doc").union(members.select("pivot")).distinct(), "doc"), "texts")
-        star = stored(verified(members.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), texts, k).withColumn("linked", similar(F.col("common"), F.col("na"), F.col("nb"))), "stars")
-        found.append(star.filter("linked").select("a", "b"))
-        seen = members.join(star.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "linked"), ["doc", "pivot"])
-        unsettled = seen.filter("m > 2").groupBy("g").agg(F.min("linked").alias("all")).filter("NOT all").select("g")
-        seen = stored(seen.join(unsettled, "g"), "unsettled")
-        pairs.append(cross_pairs(seen.filter(F.col("m") <= small), ["g"]))
-        large = seen.filter(F.col("m") > small).select("pivot", "doc", "weight").distinct()
-        if large.isEmpty():
-            break
-        family = star.withColumnsRenamed({"a": "doc", "b": "pivot"}).join(large, ["doc", "pivot"])
-        # Pairs without a common own shingle: those whose overlaps with the pivot could be enough.
-        room = (F.col("common") * (NUMERATOR + DENOMINATOR) - F.col("na") * NUMERATOR) / NUMERATOR
-        bounds = family.groupBy("pivot").agg(F.max(F.when(~F.col("linked"), room)).alias("most"), F.min("na").alias("least"))
-        near = family.join(bounds, "pivot")
-        left = near.filter(~F.col("linked") & (room >= F.col("least"))).select("pivot", F.col("doc").alias("a"), F.col("na").alias("n1"), F.col("common").alias("c1"))
-        right = near.filter(F.col("na") <= F.col("most")).select("pivot", F.col("doc").alias("b"), F.col("na").alias("n2"), F.col("common").alias("c2"))
-        could = similar(F.least("c1", "c2"), F.col("n1"), F.col("n2")) & (F.col("a") != F.col("b"))
-        pairs.append(left.join(right, "pivot").filter(could).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        # Pairs with a common own shingle.
-        edges = near.select(F.col("doc").alias("a"), F.col("pivot").alias("b"), "weight", "linked", "least")
-        own = with_texts(edges, texts).select("a", "b", "weight", "linked", own_shingles(k)("a", "za", "b", "zb", "least").alias("own"))
-        token = stored(own.select("b", F.col("a").alias("doc"), "weight", "linked", F.explode("own").alias("s")).select(F.xxhash64("b", "s").alias("g"), "doc", "weight", "linked"), "own")
-        shared = token.groupBy("g").agg(F.count("*").alias("m"), F.min("linked").alias("all")).filter("m > 1 AND NOT all").select("g", "m")
-        token = token.join(shared, "g")
-        pairs.append(cross_pairs(token.filter(F.col("m") <= small), ["g"]))
-        groups = stored(token.filter(F.col("m") > small).select("g", "doc", "weight"), "groups")
-        if groups.isEmpty():
-            break
-        small *= 2
-    rest = pairs[0]
-    for p in pairs[1:]:
-        rest = rest.union(p)
-    checked = verified(rest.distinct(), texts, k).filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
-    for f in found:
-        checked = checked.union(f)
-    return checked
+        labelled = with_roots(groups, roots)
+        per = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g", "m")
+        members = stored(labelled.join(per, "g").select("g", "doc", "n", "m"), "members")
+        dropped(groups)
+        if members.isEmpty():
+            dropped(members)
+            return roots
+        central = members.groupBy("doc").agg(F.sum("m").alias("weight"))
+        pivots = members.join(central, "doc").groupBy("g").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("pivot"))
+        around = stored(members.join(pivots, "g").select("g", "doc", "n", "pivot"), "around")
+        dropped(members)
+        if texts is None:  # later groups are parts of these
+            texts = stored(all_texts.join(around.select("doc").distinct(), "doc", "left_semi"), "texts")
+        edges = stored(around.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "edges")
+        star = stored(verified(edges, texts, k), "stars")
+        dropped(edges)
+        found.append(stored(star.filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links"))
+        roots = joined_components(found, roots)
+
+        labelled = with_roots(around, roots)
+        by_root = labelled.groupBy("g", "root").agg(F.count("*").alias("c"))
+        per = by_root.groupBy("g").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("major")).filter("major.c < m").select("g", F.col("major.root").alias("major"), (F.col("m") - F.col("major.c")).alias("rest"))
+        unsettled = stored(labelled.join(per, "g").select("g", "doc", "n", "pivot", "root", (F.col("root") != F.col("major")).alias("minor"), "rest"), "unsettled")
+        dropped(around)
+        pairs = pairs_with_few(unsettled.filter(F.col("rest") <= FEW))
+        many = unsettled.filter((F.col("rest") > FEW) & (F.col("doc") != F.col("pivot"))).select(F.col("doc").alias("a"), F.col("pivot").alias("b"), "root").distinct()
+        family = stored(many.join(star, ["a", "b"]), "family")
+        over = [star, unsettled, family]
+        if family.isEmpty():
+            groups = stored(family.select(F.col("b").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
+        else:
+            rare = stored(rarest(family, texts, k), "rare")
+            per = rare.groupBy("b", "s").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("b", "s", "m")
+            rare_groups = rare.join(per, ["b", "s"])
+            pairs = pairs.union(pairs_with_room(family)).union(pairs_with_rare(rare_groups.filter(F.col("m") <= SMALL)))
+            groups = stored(rare_groups.filter(F.col("m") > SMALL).select(F.xxhash64("b", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
+            over.append(rare)
+        edges = stored(pairs.distinct(), "pairs")
+        for t in over:
+            dropped(t)
+        found.append(linked(edges, texts, k))
+        dropped(edges)
+        roots = joined_components(found, roots)
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,21 +300,33 @@ def near_duplicates(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: s
     """
     ensure_workers_import(docs.sparkSession)
     rows = stored(signed(docs, k, doc_id, text), "signed")
-    full = rows.filter("n > 0 AND doc IS NOT NULL")
-    if not full.groupBy("doc").count().filter("count > 1").isEmpty():
-        names = ["class_key", "n", "bands", "z"]
-        full = stored(full.groupBy("doc").agg(F.min(F.struct(*names)).alias("r")).select("doc", "r.*"), "single")
-    classes = stored(full.groupBy("class_key").agg(F.min("doc").alias("lead"), F.count("*").alias("weight")), "classes")
-    copies = full.select("doc", "class_key").join(classes.filter("weight > 1"), "class_key").filter("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b"))
-    ones = full.select("doc", "bands").join(classes.select(F.col("lead").alias("doc"), "weight"), "doc")
-    groups = ones.select("doc", "weight", F.explode("bands").alias("g"))
-    roots = components(links(groups, full.select("doc", "z"), k).union(copies))
-    out = rows.select("doc", "n").join(roots, F.col("doc") == F.col("node"), "left")
+    sizes = stored(rows.select("doc", "n", "class_key"), "sizes")
+    usable = "n > 0 AND doc IS NOT NULL"
+    held, single = [rows], sizes.filter(usable).select("doc", "class_key")
+    full = rows.filter(usable)
+    if not single.groupBy("doc").count().filter("count > 1").isEmpty():
+        full = stored(full.groupBy("doc").agg(F.min(F.struct("class_key", "n", "bands", "z")).alias("r")).select("doc", "r.*"), "single")
+        held.append(full)
+        single = stored(full.select("doc", "class_key"), "classed")
+    classes = stored(single.groupBy("class_key").agg(F.min("doc").alias("lead")), "classes")
+    ones = full.select("doc", "n", "bands", "z").join(classes.select(F.col("lead").alias("doc")), "doc", "left_semi")
+    roots = clustered(ones.select("doc", "n", F.explode("bands").alias("g")), full.select("doc", "z"), k)
+    for t in held:
+        dropped(t)
+    # The lead of a class is its least document, so the least lead that links reach is the least document.
+    lead = classes.select("class_key", F.col("lead").alias("doc"))
+    lead = stored((with_roots(lead, roots)).select("class_key", "root"), "roots")
+    of_doc = single.join(lead, "class_key").select(F.col("doc").alias("node"), "root")
+    out = sizes.select("doc", "n").join(of_doc, F.col("doc") == F.col("node"), "left")
     component = F.coalesce("root", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near duplicates, the one with the least id; columns stay as they are."""
-    gone = near_duplicates(docs, k, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == F.col("__gone"), "left_anti")
+    """docs with one document of each group of near duplicates, the one with the least id; columns stay as they are, whatever their names.
+
+    Null ids and texts without words stay; an empty table stays empty.
+    """
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs, k, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("bigint") == F.col(name), "left_anti")

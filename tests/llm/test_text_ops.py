@@ -75,14 +75,15 @@ def components(sets):
     return {d: find(d) for d in sets}
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_minhash(docs, nothing, monkeypatch, small):
+@pytest.mark.parametrize("few,small", [(8, 64), (0, 2)])
+def test_minhash(docs, nothing, monkeypatch, few, small):
+    monkeypatch.setattr(minhash, "FEW", few)
     monkeypatch.setattr(minhash, "SMALL", small)
     sets = {d: shingles(t, 4) for d, t in texts().items()}
     want = components(sets)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
     assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in got.items()} == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
-    if small == 16:
+    if small == 64:
         assert minhash.near_duplicates(nothing).count() == 0
         kept = minhash.deduplicated(docs, k=4)
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d in want if want[d] == d}
@@ -95,7 +96,11 @@ def test_minhash_repeated_and_null_ids(spark):
     assert [g for g in got if g[0] > 0] == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
 
 
-def test_hot_group_without_all_pairs(spark):
+@pytest.mark.parametrize("few,small", [(8, 64), (0, 64), (0, 3)])
+def test_hot_group_without_all_pairs(spark, monkeypatch, few, small):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "EDGES", 16)
     r = random.Random(3)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -103,7 +108,7 @@ def test_hot_group_without_all_pairs(spark):
         w = list(base)
         for _ in range(r.randrange(0, 7)):
             w[r.randrange(60)] = f"q{r.randrange(400)}"
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join(w[: r.randrange(35, 61)] if i % 3 == 0 else w)))
     want = components({i: shingles(t, 4) for i, t in rows})
     got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want
