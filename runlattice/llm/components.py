@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from runlattice.llm.common import dropped, stored
@@ -14,20 +14,24 @@ def components(edges: DataFrame) -> DataFrame:
     Each round moves links towards the least neighbour, with a map-side minimum and an equi-join that Spark can split
     where a node has very many links; rounds grow as the logarithm of the longest chain. Every round is written to the shared folder; the result is a stored table.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now, mark = _marked(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == before:
-            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            out._stored_at = now._stored_at
-            return out
-        before = mark
+    while mark["n"] and mark != before:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        after = stored(small, "links")
+        before, (after, mark) = mark, _marked(small)
         dropped(now)
         now = after
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._stored_at = now._stored_at
+    return out
+
+
+def _marked(links: DataFrame) -> tuple[DataFrame, dict]:
+    """links as a stored table, with their number and a sum over them, taken while they are written."""
+    seen = Observation()
+    table = stored(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
+    return table, seen.get

@@ -34,7 +34,7 @@ ROWS, BANDS = 4, 40
 NUMERATOR, DENOMINATOR = 4, 5
 #: Members outside the largest component of a group that are compared with all others; at most so many pairs a member come of it.
 FEW = 8
-#: Members of a group with a rare shingle in common that are compared by pairs; larger groups get a pivot.
+#: The same for groups with a rare shingle in common; where more lie outside, the group gets a pivot of its own.
 SMALL = 64
 #: Edges of one document that a task of a comparison gets; more are dealt over several tasks.
 EDGES = 64
@@ -174,6 +174,16 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def apart(members: DataFrame, key: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, root, ...) of groups that are in several components, with minor (not in the largest one), in two tables: groups with at most so many minor members, and the others."""
+    by_root = members.groupBy(*key, "root").agg(F.count("*").alias("c"))
+    per = by_root.groupBy(*key).agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("major")).filter("major.c < m").select(*key, F.col("major.root").alias("major"), (F.col("m") - F.col("major.c")).alias("rest"))
+    rows = stored(members.join(per, key).withColumn("minor", F.col("root") != F.col("major")).drop("major"), "apart")
+    few, many = rows.filter(F.col("rest") <= most), rows.filter(F.col("rest") > most)
+    few._stored_at = rows._stored_at
+    return few, many
+
+
 def pairs_with_few(members: DataFrame) -> DataFrame:
     """Pairs across components within groups (g, doc, n, root, minor), of which one is minor, whose sizes allow a link."""
     left = members.filter("minor").select("g", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
@@ -182,21 +192,22 @@ def pairs_with_few(members: DataFrame) -> DataFrame:
     return ordered_pairs(left.join(right, "g").filter(fits))
 
 
-def rarest(family: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def rarest(family: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Of each edge (a, b, root, na, common) to a pivot b the own shingles of a, rarest in the family first, that a link can't do without: b, s, a, root, na, common.
 
     Shingles that one member has alone come first and meet nothing, so only shared ones are ranked. A partner has 4 in 5 of na shingles at least, which gives the number
-    of common own ones that a link needs; one of as many fewer first ones is common.
+    of common own ones that a link needs; one of as many fewer first ones is common. Second, the stored table of all own shingles, to be dropped after use.
     """
     own = with_texts(family.select("a", "b", "root", "na", "common"), texts).select("a", "b", "root", "na", "common", own_shingles(k)("a", "za", "b", "zb").alias("own"))
-    token = stored(own.repartition("a", "b"), "own").select("b", F.explode("own").alias("s"), "a", "root", "na", "common")
+    own = stored(own.repartition("a", "b"), "own")
+    token = own.select("b", F.explode("own").alias("s"), "a", "root", "na", "common")
     times = token.groupBy("b", "s").agg(F.count("*").alias("times")).filter("times > 1")
     shared = token.join(times, ["b", "s"])
     member = Window.partitionBy("b", "a")
     partner = F.ceil(F.col("na") * NUMERATOR / DENOMINATOR)
     need = F.greatest(F.lit(1), F.ceil((F.col("na") + partner) * NUMERATOR / (NUMERATOR + DENOMINATOR)) - F.col("common"))
     ranked = shared.withColumn("rank", F.row_number().over(member.orderBy("times", "s"))).withColumn("shared", F.count("*").over(member))
-    return ranked.filter(F.col("rank") <= F.col("shared") - need + 1).select("b", "s", "a", "root", "na", "common")
+    return ranked.filter(F.col("rank") <= F.col("shared") - need + 1).select("b", "s", "a", "root", "na", "common"), own
 
 
 def pairs_with_room(family: DataFrame) -> DataFrame:
@@ -214,11 +225,12 @@ def pairs_with_room(family: DataFrame) -> DataFrame:
 
 
 def pairs_with_rare(members: DataFrame) -> DataFrame:
-    """Pairs across components within groups (b, s) of bounded size whose overlaps with the pivot and own shingles together allow a link."""
-    side = lambda x: members.select("b", "s", F.col("a").alias(x), *(F.col(c).alias(c + x) for c in ("root", "na", "common")))
-    x, y = side("x"), side("y")
+    """Pairs across components within groups (b, s), of which one is minor, whose overlaps with the pivot and own shingles together allow a link."""
+    side = lambda x: members.select("b", "s", F.col("a").alias(x), "minor", *(F.col(c).alias(c + x) for c in ("root", "na", "common")))
+    x, y = side("x").filter("minor").drop("minor"), side("y").withColumnRenamed("minor", "both")
     most = F.least("commonx", "commony") + F.least(F.col("nax") - F.col("commonx"), F.col("nay") - F.col("commony"))
-    fits = (F.col("x") < F.col("y")) & (F.col("rootx") != F.col("rooty")) & similar(most, F.col("nax"), F.col("nay"))
+    once = ~F.col("both") | (F.col("x") < F.col("y"))
+    fits = once & (F.col("rootx") != F.col("rooty")) & similar(most, F.col("nax"), F.col("nay"))
     return ordered_pairs(x.join(y, ["b", "s"]).filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -245,15 +257,15 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
     found: list[DataFrame] = []
     roots: DataFrame | None = None
     texts: DataFrame | None = None
-    groups = stored(groups.join(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").select("g"), "g"), "groups")
-    while True:
-        labelled = with_roots(groups, roots)
-        per = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g", "m")
-        members = stored(labelled.join(per, "g").select("g", "doc", "n", "m"), "members")
-        dropped(groups)
-        if members.isEmpty():
-            dropped(members)
-            return roots
+    groups = stored(groups.join(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").hint("merge"), "g"), "groups")
+    while not groups.isEmpty():
+        if roots is not None:  # settled by now?
+            labelled = with_roots(groups, roots)
+            per = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g", "m")
+            members = stored(labelled.join(per, "g").select("g", "doc", "n", "m"), "members")
+            dropped(groups)
+        else:
+            members = groups
         central = members.groupBy("doc").agg(F.sum("m").alias("weight"))
         pivots = members.join(central, "doc").groupBy("g").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("pivot"))
         around = stored(members.join(pivots, "g").select("g", "doc", "n", "pivot"), "around")
@@ -266,30 +278,31 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
         found.append(stored(star.filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links"))
         roots = joined_components(found, roots)
 
-        labelled = with_roots(around, roots)
-        by_root = labelled.groupBy("g", "root").agg(F.count("*").alias("c"))
-        per = by_root.groupBy("g").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("major")).filter("major.c < m").select("g", F.col("major.root").alias("major"), (F.col("m") - F.col("major.c")).alias("rest"))
-        unsettled = stored(labelled.join(per, "g").select("g", "doc", "n", "pivot", "root", (F.col("root") != F.col("major")).alias("minor"), "rest"), "unsettled")
+        few, many = apart(with_roots(around, roots), ["g"], FEW)
         dropped(around)
-        pairs = pairs_with_few(unsettled.filter(F.col("rest") <= FEW))
-        many = unsettled.filter((F.col("rest") > FEW) & (F.col("doc") != F.col("pivot"))).select(F.col("doc").alias("a"), F.col("pivot").alias("b"), "root").distinct()
-        family = stored(many.join(star, ["a", "b"]), "family")
-        over = [star, unsettled, family]
+        pairs = pairs_with_few(few)
+        over = [star, few]
+        family = stored(many.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"), "root").distinct().join(star, ["a", "b"]), "family")
+        over.append(family)
         if family.isEmpty():
-            groups = stored(family.select(F.col("b").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
+            groups = family
         else:
-            rare = stored(rarest(family, texts, k), "rare")
-            per = rare.groupBy("b", "s").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("b", "s", "m")
-            rare_groups = rare.join(per, ["b", "s"])
-            pairs = pairs.union(pairs_with_room(family)).union(pairs_with_rare(rare_groups.filter(F.col("m") <= SMALL)))
-            groups = stored(rare_groups.filter(F.col("m") > SMALL).select(F.xxhash64("b", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
-            over.append(rare)
+            rare, own = rarest(family, texts, k)
+            few, many = apart(rare, ["b", "s"], SMALL)
+            dropped(own)
+            over.append(few)
+            pairs = pairs.union(pairs_with_room(family)).union(pairs_with_rare(few))
+            groups = stored(many.select(F.xxhash64("b", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
         edges = stored(pairs.distinct(), "pairs")
-        for t in over:
-            dropped(t)
         found.append(linked(edges, texts, k))
-        dropped(edges)
+        for t in [*over, edges]:
+            if t is not groups:
+                dropped(t)
         roots = joined_components(found, roots)
+    if texts is not None:
+        dropped(texts)
+    dropped(groups)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,7 +323,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: s
         single = stored(full.select("doc", "class_key"), "classed")
     classes = stored(single.groupBy("class_key").agg(F.min("doc").alias("lead")), "classes")
     ones = full.select("doc", "n", "bands", "z").join(classes.select(F.col("lead").alias("doc")), "doc", "left_semi")
-    roots = clustered(ones.select("doc", "n", F.explode("bands").alias("g")), full.select("doc", "z"), k)
+    roots = clustered(ones.select(F.explode("bands").alias("g"), "doc", "n"), full.select("doc", "z"), k)
     for t in held:
         dropped(t)
     # The lead of a class is its least document, so the least lead that links reach is the least document.
