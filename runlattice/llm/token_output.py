@@ -6,7 +6,9 @@ answers lookups within a stripe, and readers take one stripe each.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,11 +27,20 @@ MEMO = 500_000
 END_ID = 1
 
 
+#: Letters that every version of Unicode's tables knows as such and that compose with nothing before them.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Marks that are one piece after a word; none of them starts another pattern or an added token.
+MARKS = ".,;:!?%&*#"
+#: Words that are given to the library as one text.
+TOGETHER = 256
+
+
 class WordEncoder:
-    """Encodes texts with the tokenizers library, one call for the words of a batch that weren't seen before.
+    """Encodes texts with the tokenizers library, which sees only words that weren't seen before.
 
     A text is cut at blanks and line feeds, which the vocabulary's normalizer and pattern drop: no token, no composition and no added token
-    reaches across them, so the ids of the pieces in a row are the ids of the text.
+    reaches across them, so the ids of the pieces in a row are the ids of the text. Where the vocabulary marks the last token of a word, words of
+    plain letters go to the library many to a text, without the marks behind them (a piece of their own) and in lower case, which the normalizer makes anyway; other words go alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,18 +50,60 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        lower = "Lowercase" in json.dumps(spec.get("normalizer"))
+        self.last: np.ndarray | None = None
+        if suffix and lower:
+            vocab = self.lib.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def alone(self, words: list[str]) -> None:
+        for word, got in zip(words, self.lib.encode_batch_fast(words, add_special_tokens=False)):
+            self.memo[word] = np.array(got.ids, dtype="<u4").tobytes()
+
+    def together(self, stems: list[str]) -> None:
+        texts = [" ".join(stems[i : i + TOGETHER]) for i in range(0, len(stems), TOGETHER)]
+        ids = np.array([i for got in self.lib.encode_batch_fast(texts, add_special_tokens=False) for i in got.ids], dtype="<u4")
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        if len(ends) != len(stems):
+            raise ValueError("a word of letters must end in one last token")
+        raw = ids.tobytes()
+        self.stems.update((stem, raw[a:b]) for stem, a, b in zip(stems, [0, *ends], ends))
+
+    def learn(self, new: set[str]) -> None:
+        if self.last is None:
+            return self.alone(list(new))
+        parts, other = [], set()
+        for word in new:
+            stem = word.rstrip(MARKS)
+            if stem.isascii() and stem.isalpha():
+                parts.append((word, stem.lower(), word[len(stem) :]))
+            elif LETTERS(stem):
+                parts.append((word, stem, word[len(stem) :]))
+            else:
+                other.add(word)
+        self.together(list({p[1] for p in parts} - self.stems.keys()))
+        other |= {p[2] for p in parts}
+        self.alone(list(other - self.memo.keys()))
+        stems, memo = self.stems, self.memo
+        for word, stem, marks in parts:
+            memo[word] = stems[stem] + memo[marks] if marks else stems[stem]
 
     def packed(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text, then end, as little-endian 32-bit integers."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
+            self.stems.clear()
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*pieces) - memo.keys())
-        for word, got in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False)):
-            memo[word] = np.array(got.ids, dtype="<u4").tobytes()
-        ids_of = memo.__getitem__
+        new = set().union(*pieces) - self.memo.keys()
+        if new:
+            self.learn(new)
+        ids_of = self.memo.__getitem__
         return [b"".join(map(ids_of, p)) + end for p in pieces]
 
 
