@@ -87,6 +87,39 @@ def apply(function: Callable, result: str, *columns: ColumnLike) -> Column:
     return udf(F.struct(*[_col(c).alias(f"c{i}") for i, c in enumerate(columns)]))
 
 
+class Flat:
+    """The masks of a batch in flat arrays: sizes, and foreground intervals with the row that owns each. Null masks have no intervals."""
+
+    def __init__(self, array: pa.Array) -> None:
+        lists = array.field("counts")
+        self.valid = np.asarray(array.is_valid()) & np.asarray(array.field("h").is_valid()) & np.asarray(array.field("w").is_valid())
+        self.h, self.w = (np.asarray(array.field(c).fill_null(0), dtype=np.int64) for c in "hw")
+        ends = np.asarray(lists.offsets, dtype=np.int64)
+        flat = np.asarray(lists.values, dtype=np.int64)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        self.rows, size = len(array), np.diff(ends)
+        upto = np.concatenate([[0], np.cumsum(flat)])
+        row = np.repeat(np.arange(self.rows), size)
+        odd = ((np.arange(len(flat)) - ends[row]) % 2 == 1) & self.valid[row]
+        self.owner = row[odd]
+        base = upto[ends[self.owner]]
+        self.start, self.end = upto[:-1][odd] - base, upto[1:][odd] - base
+
+    def offsets(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.bincount(self.owner, minlength=self.rows))]).astype(np.int32)
+
+
+def batched(function: Callable[..., pa.Array], result: str, *columns: ColumnLike) -> Column:
+    """A Column of function over whole batches of masks in flat arrays, without a loop over rows."""
+
+    @F.arrow_udf(result)
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            yield function(*(Flat(rows.field(i)) for i in range(rows.type.num_fields)))
+
+    return udf(F.struct(*[_col(c).alias(f"c{i}") for i, c in enumerate(columns)]))
+
+
 def fields(m: ColumnLike) -> tuple[Column, Column, Column]:
     m = _col(m)
     return m["h"], m["w"], m["counts"]
@@ -265,12 +298,24 @@ def total(c: Column) -> Column:
 
 def positions(m: ColumnLike) -> Column:
     """Linear positions x * h + y of the foreground."""
-    return apply(lambda a: np.flatnonzero(np.repeat(np.arange(len(a.counts)) % 2 == 1, a.counts)), "array<int>", m)
+
+    def each(a: Flat) -> pa.Array:
+        size = a.end - a.start
+        upto = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(upto[-1]) - np.repeat(upto[:-1] - a.start, size)
+        return pa.ListArray.from_arrays(pa.array(upto[a.offsets()].astype(np.int32)), pa.array(at.astype(np.int32)), mask=pa.array(~a.valid))
+
+    return batched(each, "array<int>", m)
 
 
 def runs(m: ColumnLike) -> Column:
     """Foreground intervals as array<struct<s,e>> of linear positions."""
-    return apply(lambda a: [{"s": int(s), "e": int(e)} for s, e in zip(*k.intervals(a))], "array<struct<s:int,e:int>>", m)
+
+    def each(a: Flat) -> pa.Array:
+        pairs = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (a.start, a.end)], ["s", "e"])
+        return pa.ListArray.from_arrays(pa.array(a.offsets()), pairs, mask=pa.array(~a.valid))
+
+    return batched(each, "array<struct<s:int,e:int>>", m)
 
 
 # -- boolean algebra
@@ -461,7 +506,22 @@ def get_pixel(m: ColumnLike, y: int, x: int) -> Column:
 
 
 def bbox(m: ColumnLike) -> Column:
-    return apply(lambda a: dict(zip("xywh", map(float, k.box_of(a)))), BBOX, m)
+    """struct<x,y,w,h> of the foreground's box; zeros for an empty mask."""
+
+    def each(a: Flat) -> pa.Array:
+        h = a.h[a.owner]
+        x0, x1 = a.start // h, (a.end - 1) // h
+        one = x0 == x1
+        y0, y1 = np.where(one, a.start % h, 0), np.where(one, (a.end - 1) % h, h - 1)
+        out = np.zeros((4, a.rows), dtype=np.int64)
+        some, first = np.unique(a.owner, return_index=True)
+        if len(some):
+            least = [np.minimum.reduceat(v, first) for v in (x0, y0)]
+            most = [np.maximum.reduceat(v, first) for v in (x1, y1)]
+            out[:, some] = [*least, *(v - u + 1 for u, v in zip(least, most))]
+        return pa.StructArray.from_arrays([pa.array(v.astype(np.float64)) for v in out], list("xywh"), mask=pa.array(~a.valid))
+
+    return batched(each, BBOX, m)
 
 
 def centroid(m: ColumnLike) -> Column:
@@ -487,7 +547,26 @@ def perimeter(m: ColumnLike) -> Column:
 
 
 def overlap(a: ColumnLike, b: ColumnLike) -> Column:
-    return apply(k.overlap, "bigint", a, b)
+    """Common foreground pixels; extents must agree."""
+
+    def each(p: Flat, q: Flat) -> pa.Array:
+        valid = p.valid & q.valid
+        if ((p.h != q.h) | (p.w != q.w))[valid].any():
+            raise k.MaskError("masks differ in extent")
+        room = int((np.concatenate([[0], p.h * p.w, q.h * q.w])).max()) + 1
+        starts, ends = q.start + q.owner * room, q.end + q.owner * room
+        upto = np.concatenate([[0], np.cumsum(ends - starts)])
+
+        def covered(x: np.ndarray) -> np.ndarray:
+            """Foreground of q before x, all rows side by side."""
+            n = np.searchsorted(starts, x, "right")
+            return upto[n] - (np.maximum(ends[n - 1] - x, 0) * (n > 0) if len(ends) else 0)
+
+        at = p.owner * room
+        both = covered(p.end + at) - covered(p.start + at)
+        return pa.array(np.bincount(p.owner, weights=both, minlength=p.rows).astype(np.int64), mask=~valid)
+
+    return batched(each, "bigint", a, b)
 
 
 def iou(a: ColumnLike, b: ColumnLike) -> Column:

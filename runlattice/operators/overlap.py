@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runlattice.functions import masks
+from runlattice.functions import kernels, masks
 from runlattice.operators.sweep import from_positions
+from runlattice.storage import dropped, stored
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], mask: str = "mask", cell: int = 64) -> DataFrame:
@@ -40,13 +44,16 @@ def iou_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], ids: tuple
     crowd: a boolean column of right; there the denominator is the left mask's area. same: left and right are one set, and each pair is
     made once, the lesser id as a. Extents that differ give -1.
     """
-    pairs = candidate_pairs(left, right, keys, mask, cell)
-    a, b = F.col("l")[ids[0]], F.col("r")[ids[1]]
+    def side(df: DataFrame, id_column: str, crowd_column: str | None) -> DataFrame:
+        about = F.col(crowd_column) if crowd_column else F.lit(False)
+        return df.select(*keys, F.col(id_column).alias("id"), about.alias("crowd"), F.col(mask).alias("mask"), masks.area(mask).alias("area"))
+
+    pairs = candidate_pairs(side(left, ids[0], None), side(right, ids[1], crowd), keys, "mask", cell)
+    l, r = F.col("l"), F.col("r")
     if same:
-        pairs = pairs.filter(a < b)
-    la, rb = F.col("l")[mask], F.col("r")[mask]
-    fit = (la["h"] == rb["h"]) & (la["w"] == rb["w"])
-    sized = pairs.select(*keys, a.alias("a"), b.alias("b"), fit.alias("fit"), masks.area(la).alias("area_a"), masks.area(rb).alias("area_b"), (F.col("r")[crowd] if crowd else F.lit(False)).alias("crowd"), masks.overlap(la, F.when(fit, rb).otherwise(la)).alias("common"))
+        pairs = pairs.filter(l["id"] < r["id"])
+    fit = (l["mask"]["h"] == r["mask"]["h"]) & (l["mask"]["w"] == r["mask"]["w"])
+    sized = pairs.select(*keys, l["id"].alias("a"), r["id"].alias("b"), fit.alias("fit"), l["area"].alias("area_a"), r["area"].alias("area_b"), r["crowd"].alias("crowd"), masks.overlap(l["mask"], F.when(fit, r["mask"]).otherwise(l["mask"])).alias("common"))
     below = F.when(F.col("crowd"), F.col("area_a")).otherwise(F.col("area_a") + F.col("area_b") - F.col("common"))
     ratio = F.when(F.col("fit"), F.col("common") / below).otherwise(F.lit(-1.0))
     return sized.filter("common > 0 OR NOT fit").select(*keys, "a", "b", F.when(F.col("fit"), F.col("common")).otherwise(0).cast("bigint").alias("common"), ratio.alias("iou"))
@@ -56,21 +63,23 @@ def nms(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """Greedy suppression in order of id: a node goes if a kept one with a lesser id overlaps it by more than threshold.
 
     nodes (id), edges (a, b, iou) with a < b. In each round the nodes without an earlier undecided neighbour are kept and
-    their later neighbours go, so rounds are as many as the longest chain of overlaps, not as the nodes. Returns id, kept.
+    their later neighbours go, so rounds are as many as the longest chain of overlaps, not as the nodes. Returns id, kept for every row of nodes; rows that
+    share an id share its verdict, null ids are kept. Each round is a stored table.
     """
-    spark = nodes.sparkSession
-    hits = edges.filter(F.col("iou") > threshold).select("a", "b").checkpoint() if spark.sparkContext.getCheckpointDir() else edges.filter(F.col("iou") > threshold).select("a", "b").persist()
-    state = nodes.select("id", F.lit(None).cast("boolean").alias("kept"))
+    hits = stored(edges.filter(F.col("iou") > threshold).select("a", "b").distinct(), "hits")
+    state = stored(nodes.select("id", F.lit(None).cast("boolean").alias("kept")).filter("id IS NOT NULL").distinct(), "state")
     while True:
         open_ = state.filter("kept IS NULL").select("id")
         live = hits.join(open_.withColumnRenamed("id", "a"), "a").join(open_.withColumnRenamed("id", "b"), "b")
         blocked = live.select(F.col("b").alias("id")).distinct().withColumn("blocked", F.lit(True))
         keep = open_.join(blocked, "id", "left").filter("blocked IS NULL").select("id", F.lit(True).alias("now"))
         gone = live.join(keep.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"), F.lit(False).alias("now")).distinct()
-        state = state.join(keep.union(gone), "id", "left").select("id", F.coalesce("kept", "now").alias("kept"))
-        state = state.checkpoint() if spark.sparkContext.getCheckpointDir() else state.persist()
+        after = stored(state.join(keep.union(gone), "id", "left").select("id", F.coalesce("kept", "now").alias("kept")), "state")
+        dropped(state)
+        state = after
         if state.filter("kept IS NULL").isEmpty():
-            return state
+            dropped(hits)
+            return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def pixels(df: DataFrame, mask: str = "mask") -> DataFrame:
@@ -80,20 +89,67 @@ def pixels(df: DataFrame, mask: str = "mask") -> DataFrame:
     return rows.withColumns({"x": F.expr("at div h").cast("int"), "y": F.expr("at % h").cast("int")})
 
 
-def visible(df: DataFrame, keys: Sequence[str], id_column: str, depth: Column, mask: str = "mask") -> DataFrame:
+def visible(df: DataFrame, keys: Sequence[str], id_column: str, depth: Column, mask: str = "mask", parts: int = 1) -> DataFrame:
     """keys, id, mask of what each mask shows when those of less depth lie over it (least id among equal ones); hidden masks don't appear.
 
-    The front mask of a pixel is a minimum, combined before the shuffle, so a group with very many layers costs its pixels once.
+    The runs of a group's masks are painted, batch by batch, on one canvas of its extent, which is all that a task holds; masks of a
+    group must have one extent. With parts above 1 a group is first painted in so many tasks by id, for groups with very many layers.
     """
-    rows = pixels(df.select(*keys, id_column, depth.alias("__depth"), mask), mask)
-    front = rows.groupBy(*keys, "h", "w", "at").agg(F.min(F.struct("__depth", id_column)).alias("f"))
-    return from_positions(front.select(*keys, F.col("f")[id_column].alias(id_column), "h", "w", "at"), [*keys, id_column], "h", "w", "at")
+    of = {c: df.schema[c].dataType for c in [*keys, id_column]}
+    rows = df.filter(F.col(mask).isNotNull()).select(*keys, F.col(id_column), depth.alias("__depth"), F.col(mask).alias("__m"))
+    if parts > 1:
+        some = rows.withColumn("__part", F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int"))
+        rows = _painted(some, [*keys, "__part"], id_column, {**of, "__part": T.IntegerType()}).drop("__part")
+    return _painted(rows, keys, id_column, of).select(*keys, id_column, F.col("__m").alias("mask"))
+
+
+def _painted(rows: DataFrame, keys: Sequence[str], id_column: str, of: dict[str, T.DataType]) -> DataFrame:
+    """Rows of (keys, id, __depth, __m) with the parts of the masks that show."""
+    schema = T.StructType([*(T.StructField(c, of[c]) for c in [*keys, id_column]), T.StructField("__depth", rows.schema["__depth"].dataType), T.StructField("__m", T._parse_datatype_string(masks.MASK))])
+    n = len(keys)
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner = nearest = size = key = None
+        layers: list[tuple] = []
+        for batch in batches:
+            flat, names = masks.Flat(batch.column("__m")), batch.column(id_column).to_pylist()
+            depths = batch.column("__depth").to_pylist()
+            if owner is None:
+                size, key, kinds = (int(flat.h[0]), int(flat.w[0])), batch.slice(0, 1), batch.schema
+                owner, nearest = np.full(size[0] * size[1], -1, dtype=np.int64), np.full(size[0] * size[1], np.inf)
+            if ((flat.h != size[0]) | (flat.w != size[1])).any():
+                raise kernels.MaskError("masks differ in extent")
+            first = len(layers)
+            layers.extend(zip(depths, names))
+            for i, s, e in zip(flat.owner.tolist(), flat.start.tolist(), flat.end.tolist()):
+                d, was = depths[i], nearest[s:e]
+                over = d < was
+                if not over.all() and (level := np.flatnonzero(was == d)).size:
+                    own = owner[s:e]
+                    for other in np.unique(own[level]).tolist():
+                        if names[i] < layers[other][1]:
+                            over |= own == other
+                owner[s:e][over] = first + i
+                was[over] = d
+        if owner is None:
+            return
+        turn = np.flatnonzero(np.diff(owner, prepend=-2))
+        stop, who = np.append(turn[1:], len(owner)), owner[turn]
+        shown = np.unique(who[who >= 0])
+        if not len(shown):
+            return
+        out = masks.to_arrow([kernels.from_intervals(*size, turn[who == i], stop[who == i]) for i in shown.tolist()])
+        columns = [pa.array(key.column(c).to_pylist() * len(shown), kinds.field(c).type) for c in range(n)]
+        columns += [pa.array([layers[i][1] for i in shown.tolist()], kinds.field(id_column).type), pa.array([layers[i][0] for i in shown.tolist()], kinds.field("__depth").type), out]
+        yield pa.RecordBatch.from_arrays(columns, [*keys, id_column, "__depth", "__m"])
+
+    return rows.groupBy(*keys).applyInArrow(paint, schema)
 
 
 def merge_to_label_map(df: DataFrame, keys: Sequence[str], ordinal: str, mask: str = "mask") -> DataFrame:
     """keys, x, y, label: of each covered pixel the greatest ordinal + 1, so the last mask wins; background pixels have no row."""
-    rows = pixels(df.select(*keys, ordinal, mask), mask)
-    return rows.groupBy(*keys, "x", "y").agg((F.max(ordinal) + 1).cast("int").alias("label"))
+    top = visible(df.select(*keys, ordinal, mask), keys, ordinal, -F.col(ordinal), mask)
+    return pixels(top).select(*keys, "x", "y", (F.col(ordinal) + 1).cast("int").alias("label"))
 
 
 def from_label_map(df: DataFrame, keys: Sequence[str], labels: str, h: int, w: int) -> DataFrame:
@@ -124,7 +180,5 @@ def vconcat_groups(df: DataFrame, keys: Sequence[str], ordinal: str, mask: str =
 
 
 def _concat_groups(df: DataFrame, keys: Sequence[str], ordinal: str, mask: str, axis: int) -> DataFrame:
-    from runlattice.functions import kernels
-
     got = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ordinal, mask))).alias("__m")).withColumn("__m", F.transform("__m", lambda e: e[mask]))
     return got.select(*keys, masks.apply(lambda m: kernels.concatenate(m, axis), masks.MASK, "__m").alias("mask"))

@@ -16,24 +16,37 @@ from runlattice.functions import kernels, masks
 Decide = Callable[[Column, Column], Column]
 
 
-def merge_groups(df: DataFrame, keys: Sequence[str], mask: str = "mask", weight: Column | int | float = 1, decide: Decide = lambda total, n: total >= 1, out: str = "mask") -> DataFrame:
-    """One mask per group: foreground where decide(sum of the weights of the masks set there, masks of the group).
+def states(df: DataFrame, keys: Sequence[str], mask: str = "mask", weight: Column | int | float = 1) -> tuple[DataFrame, Window]:
+    """Per group and position where a run starts or ends: __total (weights of the masks set from there on), __n and __all (masks of the group, sum of all weights), extent; and the window of a group.
 
-    Masks of a group must have one extent. A group of masks without foreground gives decide(0, n) everywhere.
+    Counts travel with the positions, so null keys are groups like others and nothing is joined.
     """
-    keys = list(keys)
     m = F.col(mask)
     weight = weight if isinstance(weight, Column) else F.lit(weight)
-    rows = df.select(*keys, m["h"].alias("__h"), m["w"].alias("__w"), weight.alias("__k"), masks.runs(mask).alias("__runs"))
-    marks = F.flatten(F.transform("__runs", lambda r: F.array(F.struct(r["s"].alias("at"), F.col("__k").alias("by")), F.struct(r["e"].alias("at"), (-F.col("__k")).alias("by")))))
-    first = F.array(F.struct(F.lit(0).alias("at"), (F.col("__k") * 0).alias("by")))
-    marked = rows.select(*keys, "__h", "__w", F.explode(F.concat(first, marks)).alias("__m"))
+    rows = df.select(*keys, m["h"].alias("__h"), m["w"].alias("__w"), weight.alias("__k"), masks.runs(mask).alias("__runs")).filter("__h IS NOT NULL")
+    nothing = F.col("__k") * 0
+    mark = lambda at, by, n, k: F.struct(at.alias("at"), by.alias("by"), n.alias("n"), k.alias("k"))
+    marks = F.flatten(F.transform("__runs", lambda r: F.array(mark(r["s"], F.col("__k"), F.lit(0), nothing), mark(r["e"], -F.col("__k"), F.lit(0), nothing))))
+    marked = rows.select(*keys, "__h", "__w", F.explode(F.concat(F.array(mark(F.lit(0), nothing, F.lit(1), F.col("__k"))), marks)).alias("__m"))
     one = F.assert_true((F.min("__h") == F.max("__h")) & (F.min("__w") == F.max("__w")), F.lit("masks differ in extent"))
-    sums = marked.groupBy(*keys, F.col("__m.at").alias("__at")).agg(F.sum("__m.by").alias("__by"), F.when(one.isNull(), F.max("__h")).alias("__h"), F.max("__w").alias("__w"))
-    counts = df.groupBy(*keys).agg(F.count(mask).alias("__n"))
-    sums = sums.join(counts, keys)
+    sums = marked.groupBy(*keys, F.col("__m.at").alias("__at")).agg(F.sum("__m.by").alias("__by"), F.sum("__m.n").alias("__n"), F.sum("__m.k").alias("__all"), F.when(one.isNull(), F.max("__h")).alias("__h"), F.max("__w").alias("__w"))
     order = Window.partitionBy(*keys).orderBy("__at")
-    state = sums.withColumn("__on", decide(F.sum("__by").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("__n")) & (F.col("__at") < F.col("__h") * F.col("__w")))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)  # the count stands at position 0, the first of each group
+    return sums.withColumns({"__total": F.sum("__by").over(upto), "__n": F.sum("__n").over(upto), "__all": F.sum("__all").over(upto)}), order
+
+
+def merge_groups(df: DataFrame, keys: Sequence[str], mask: str = "mask", weight: Column | int | float = 1, decide: Decide = lambda total, n: total >= 1, out: str = "mask", whole: tuple[int, int] | None = None) -> DataFrame:
+    """One mask per group: foreground where decide(sum of the weights of the masks set there, masks of the group).
+
+    Masks of a group must have one extent. A group of masks without foreground gives decide(0, n) everywhere. Null masks don't count. whole: the number of masks and
+    sum of weights that every group must have, else an error is raised.
+    """
+    keys = list(keys)
+    rows, order = states(df, keys, mask, weight)
+    if whole:
+        right = F.assert_true((F.col("__n") == whole[0]) & (F.col("__all") == whole[1]), F.lit(f"a group must have {whole[0]} masks with ordinals from 0 on"))
+        rows = rows.withColumn("__total", F.when(right.isNull(), F.col("__total")))
+    state = rows.withColumn("__on", decide(F.col("__total"), F.col("__n")) & (F.col("__at") < F.col("__h") * F.col("__w")))
     turned = state.withColumn("__turn", F.col("__on") != F.lag("__on", 1, False).over(order))
     ends = turned.groupBy(*keys).agg(F.max("__h").alias("__h"), F.max("__w").alias("__w"), F.array_sort(F.collect_list(F.when(F.col("__turn"), F.col("__at")))).alias("__ends"))
     return ends.select(*keys, from_turns("__h", "__w", "__ends").alias(out))
@@ -79,17 +92,18 @@ def weighted_groups(df: DataFrame, keys: Sequence[str], weight: Column, threshol
 
 
 def custom_groups(df: DataFrame, keys: Sequence[str], ordinal: str, function: Callable[..., object], arity: int, mask: str = "mask") -> DataFrame:
-    """Any function of the arity masks of a group, told apart by ordinal 0 to arity - 1; tabulated here, looked up by Spark."""
+    """Any function of the arity masks of a group, told apart by ordinal 0 to arity - 1; tabulated here, looked up by Spark. Groups with other ordinals raise."""
     table = F.array(*[F.lit(bool(v)) for v in kernels.truth_table(function, arity)])
     weight = F.expr(f"shiftleft(1L, {ordinal})")
-    return merge_groups(df, keys, mask, weight=weight, decide=lambda total, n: F.get(table, total.cast("int")))
+    return merge_groups(df, keys, mask, weight=weight, decide=lambda total, n: F.get(table, total.cast("int")), whole=(arity, (1 << arity) - 1))
 
 
 def iou_groups(df: DataFrame, keys: Sequence[str], mask: str = "mask") -> DataFrame:
     """Per group: pixels set in all masks over pixels set in any; 0 where none is set in all."""
-    every = intersection_groups(df, keys, mask).select(*keys, masks.area("mask").alias("__all"))
-    some = union_groups(df, keys, mask).select(*keys, masks.area("mask").alias("__any"))
-    return every.join(some, list(keys)).select(*keys, F.when(F.col("__all") > 0, F.col("__all") / F.col("__any")).otherwise(0.0).alias("iou"))
+    rows, order = states(df, keys, mask)
+    length = F.coalesce(F.lead("__at").over(order), F.col("__h") * F.col("__w")) - F.col("__at")
+    over = rows.withColumn("__length", length).groupBy(*keys).agg(F.sum(F.when(F.col("__total") == F.col("__n"), F.col("__length"))).alias("__all"), F.sum(F.when(F.col("__total") > 0, F.col("__length"))).alias("__any"))
+    return over.select(*keys, F.when(F.col("__all") > 0, F.col("__all") / F.col("__any")).otherwise(0.0).alias("iou"))
 
 
 def fold_groups(df: DataFrame, keys: Sequence[str], ordinal: str, functions: Sequence[str | int], arity: int, mask: str = "mask") -> DataFrame:

@@ -22,8 +22,8 @@ def act(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.from_positions(rows.select(F.col("user_id").alias("id"), F.lit(24).alias("h"), F.lit(7).alias("w"), at), ["id"], "h", "w", "at")
 
 
-def box(spark: SparkSession, sf_dir: str, images: int = 200) -> DataFrame:
+def box(spark: SparkSession, sf_dir: str, orders: int = 10) -> DataFrame:
     """image, id, depth, mask: a rectangle for each line item in a frame of 48 rows and 64 columns."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     x, y, w, h = F.col("l_partkey") % 40, F.col("l_suppkey") % 30, 1 + F.col("l_linenumber"), (1 + F.col("l_quantity").cast("bigint") % 12)
-    return rows.select((F.col("l_orderkey") % images).alias("image"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("id"), F.col("l_linenumber").alias("depth"), masks.from_bbox(x, y, w, h, (48, 64)).alias("mask"))
+    return rows.select(F.floor(F.col("l_orderkey") / orders).alias("image"), ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 51 + F.col("l_quantity").cast("bigint")).alias("id"), F.col("l_linenumber").alias("depth"), masks.from_bbox(x, y, w, h, (48, 64)).alias("mask"))

@@ -21,9 +21,9 @@ b AS (SELECT DISTINCT id FROM e)
 """
 
 
-def box(images: int = 200) -> str:
+def box(orders: int = 10) -> str:
     return f"""
-b AS (SELECT l_orderkey % {images} AS image, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS id, l_linenumber AS depth, l_partkey % 40 AS x0, l_suppkey % 30 AS y0, 1 + l_linenumber AS bw, 1 + l_quantity::BIGINT % 12 AS bh FROM lineitem),
+b AS (SELECT l_orderkey // {orders} AS image, (((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 51 + l_quantity::BIGINT AS id, l_linenumber AS depth, l_partkey % 40 AS x0, l_suppkey % 30 AS y0, 1 + l_linenumber AS bw, 1 + l_quantity::BIGINT % 12 AS bh FROM lineitem),
 e AS (SELECT image, id, depth, x, y FROM (SELECT *, unnest(range(x0, least(x0 + bw, 64))) AS x FROM b) AS c, LATERAL (SELECT unnest(range(c.y0, least(c.y0 + c.bh, 48))) AS y))
 """
 

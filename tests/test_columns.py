@@ -113,3 +113,104 @@ def test_running_union(spark, arrays, tmp_path):
 def test_components_where(spark, arrays):
     got = overlap.components(rows(spark, arrays), ["id"], where="area >= 2").collect()
     assert all(r["area"] >= 2 and dense(r["mask"]).sum() == r["area"] for r in got)
+
+
+# -- batches against the kernels, groups with null keys, errors
+
+
+def random_masks(n=40, h=500, w=500, seed=5):
+    r = np.random.default_rng(seed)
+    out = [k.zeros(h, w), k.zeros(0, 5), k.complement(k.zeros(h, w)), None]
+    for _ in range(n):
+        p = np.repeat(np.repeat(r.random((25, 25)) < r.random() ** 2, 20, axis=0), 20, axis=1)
+        p[r.integers(0, h, 50), r.integers(0, w, 50)] ^= True
+        out.append(k.from_dense(p))
+    return out
+
+
+def test_flat_measures_of_large_masks():
+    many = random_masks()
+    flat = masks.Flat(masks.to_arrow(many))
+    at = 0
+    for i, m in enumerate(many):
+        s, e = k.intervals(m) if m is not None else (np.empty(0), np.empty(0))
+        n = int((flat.owner == i).sum())
+        assert n == len(s) and flat.start[at : at + n].tolist() == s.tolist() and flat.end[at : at + n].tolist() == e.tolist()
+        at += n
+
+
+def test_batched_columns(spark):
+    many = [m for m in random_masks(8) if m is None or m.h == 500]
+    rows = [(i, m and (m.h, m.w, m.counts.tolist()), n and (n.h, n.w, n.counts.tolist())) for i, (m, n) in enumerate(zip(many, many[1:] + many[:1]))]
+    df = spark.createDataFrame(rows, f"id int, a {masks.MASK}, b {masks.MASK}")
+    for r in df.select("id", "a", "b", masks.bbox("a").alias("box"), masks.overlap("a", "b").alias("common"), masks.runs("a").alias("runs"), F.size(masks.positions("a")).alias("n")).collect():
+        a, b = many[r.id], (many[1:] + many[:1])[r.id]
+        if a is None:
+            assert r.box is None and r.common is None and r.runs is None
+            continue
+        assert tuple(r.box) == tuple(map(float, k.box_of(a))) and r.n == k.area(a)
+        assert [tuple(x) for x in r.runs] == list(zip(*(x.tolist() for x in k.intervals(a))))
+        assert r.common == (None if b is None else k.overlap(a, b))
+
+
+def test_groups_with_null_keys_and_wrong_ordinals(spark):
+    rows = [(None, 0, (2, 2, [1, 3])), (None, 1, (2, 2, [0, 2, 2])), (1, 0, (2, 2, [4])), (1, 0, (2, 2, [2, 1, 1]))]
+    df = spark.createDataFrame(rows, f"k int, o int, mask {masks.MASK}")
+    assert {r.k: r.mask.counts for r in sweep.union_groups(df, ["k"]).collect()} == {None: [0, 4], 1: [2, 1, 1]}
+    assert {r.k: r.iou for r in sweep.iou_groups(df, ["k"]).collect()} == {None: 0.25, 1: 0.0}
+    good = df.filter("k IS NULL")
+    assert sweep.custom_groups(good, ["k"], "o", lambda a, b: a != b, 2).first().mask.counts == [0, 1, 1, 2]
+    for bad in (df.filter("k = 1"), df.filter("o = 0 AND k IS NULL")):
+        with pytest.raises(Exception, match="ordinals"):
+            sweep.custom_groups(bad, ["k"], "o", lambda a, b: a != b, 2).collect()
+
+
+def test_suppression_of_repeated_ids(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "id int")
+    edges = spark.createDataFrame([(1, 2, 0.9), (1, 2, 0.9), (2, 3, 0.9)], "a int, b int, iou double")
+    assert sorted(map(tuple, overlap.nms(nodes, edges, 0.5).collect()), key=str) == sorted([(1, True), (2, False), (2, False), (3, True), (None, True)], key=str)
+
+
+def test_visible_by_layers(spark):
+    r = np.random.default_rng(2)
+    rows, front = [], np.full((2, 12), None, dtype=object)
+    for i in range(30):
+        p = r.random(12) < 0.3
+        g, d = int(i % 2), int(r.integers(0, 3))
+        m = k.from_intervals(3, 4, *(np.flatnonzero(np.diff(np.concatenate([[0], p, [0]])) == s) for s in (1, -1)))
+        rows.append((g, i, d, (m.h, m.w, m.counts.tolist())))
+        for q in np.flatnonzero(p):
+            front[g, q] = min(x for x in (front[g, q], (d, i)) if x is not None)
+    df = spark.createDataFrame(rows, f"g int, id int, d int, mask {masks.MASK}")
+    for parts in (1, 3):
+        got = np.full((2, 12), None, dtype=object)
+        for x in overlap.visible(df, ["g"], "id", F.col("d"), parts=parts).select("g", "id", masks.positions("mask").alias("at")).collect():
+            for q in x["at"]:
+                assert got[x.g, q] is None
+                got[x.g, q] = x.id
+        assert got.tolist() == [[None if v is None else v[1] for v in row] for row in front.tolist()]
+
+
+def test_polygons_against_traced_outlines():
+    """Every step of an outline on the fine grid that crosses a column's middle toggles the column from there on; steps traced one by one with fractions."""
+    from fractions import Fraction
+    from math import floor
+
+    r = np.random.default_rng(4)
+    half = Fraction(1, 2)
+    for _ in range(60):
+        xy = r.uniform(-3, 25, 2 * int(r.integers(3, 7)))
+        fine = [(int(x * 5 + 0.5), int(y * 5 + 0.5)) for x, y in xy.reshape(-1, 2)]
+        bits = np.zeros((20, 22), dtype=bool)
+        for (x0, y0), (x1, y1) in zip(fine, fine[1:] + fine[:1]):
+            flat = abs(x1 - x0) >= abs(y1 - y0)
+            (x0, y0), (x1, y1) = sorted([(x0, y0), (x1, y1)], key=lambda p: p if flat else (p[1], p[0]))
+            if (x0, y0) == (x1, y1):
+                continue
+            steps = range(max(abs(x1 - x0), abs(y1 - y0)) + 1)
+            trace = [(x0 + t, floor(y0 + Fraction(y1 - y0, x1 - x0) * t + half)) if flat else (floor(x0 + Fraction(x1 - x0, y1 - y0) * t + half), y0 + t) for t in steps]
+            for (u, v), (u2, v2) in zip(trace, trace[1:]):
+                if u != u2 and min(u, u2) % 5 == 2 and 0 <= min(u, u2) // 5 < 22:
+                    row = min(max(-((2 - min(v, v2)) // 5), 0), 20)
+                    bits[row:, min(u, u2) // 5] ^= True
+        assert k.from_polygon(xy.tolist(), 20, 22).counts.tolist() == k.from_dense(bits).counts.tolist()
