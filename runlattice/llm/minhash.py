@@ -10,7 +10,7 @@ most central; members that are linked are one component, and groups within one c
 largest component, these are compared with the rest. Otherwise sets are split into what they share with the pivot and what they don't (own shingles): two
 members have at most the lesser of their overlaps with the pivot in common besides own shingles, so a link needs a number of common own ones, and
 one of these is among the rarest own shingles of both. Members with such a shingle in common form new groups, small ones compared by pairs, large ones with a pivot of their own.
-Every step is linear in the members, and every round's tables are written to the shared folder and dropped when used.
+Every step is linear in the members, joins with texts are sorted merges at every size, and every round's tables are written to the shared folder and dropped when used.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def with_texts(edges: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("doc").alias("a"), F.col("z").alias("za"))
     two = texts.select(F.col("doc").alias("b"), F.col("z").alias("zb")).join(edges.select("b").distinct(), "b", "left_semi").join(hot, "b", "left")
     two = two.select("b", "zb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    return dealt.join(one, "a").join(two, ["b", "part"]).drop("part")
+    return dealt.join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "part"]).drop("part")
 
 
 def verified(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -271,7 +271,7 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
         around = stored(members.join(pivots, "g").select("g", "doc", "n", "pivot"), "around")
         dropped(members)
         if texts is None:  # later groups are parts of these
-            texts = stored(all_texts.join(around.select("doc").distinct(), "doc", "left_semi"), "texts")
+            texts = stored(all_texts.join(around.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
         edges = stored(around.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "edges")
         star = stored(verified(edges, texts, k), "stars")
         dropped(edges)
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: s
         held.append(full)
         single = stored(full.select("doc", "class_key"), "classed")
     classes = stored(single.groupBy("class_key").agg(F.min("doc").alias("lead")), "classes")
-    ones = full.select("doc", "n", "bands", "z").join(classes.select(F.col("lead").alias("doc")), "doc", "left_semi")
+    ones = full.select("doc", "n", "bands", "z").join(classes.select(F.col("lead").alias("doc")).hint("merge"), "doc", "left_semi")
     roots = clustered(ones.select(F.explode("bands").alias("g"), "doc", "n"), full.select("doc", "z"), k)
     for t in held:
         dropped(t)
