@@ -1,8 +1,9 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes its text blocks in order. A linear classifier prices each block as content or boilerplate; the prices are
-capacities to source and sink. Neighbouring blocks, and blocks that are near in the tree, are joined by smoothness edges.
-The minimum cut, found by maximum flow, labels all blocks of a page at once.
+A page becomes its text blocks in order and the elements around them that say something (by tag, role or name). A linear classifier prices a block by its own text
+alone (length, links, tag) and an element by its kind; the prices are capacities to source (content) and sink (boilerplate). Edges are smoothness: blocks and
+elements hang on the element around them, neighbours in the page on each other. Content inside boilerplate costs more than any block is worth; boilerplate inside
+content costs what speaks for the content. The minimum cut, found by maximum flow, labels all of a page at once.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ BAD_NAME = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|
 GOOD_NAME = re.compile(r"(?:^|[^a-z])(?:article\w*|content|post|entry\w*|main|story\w*|body)(?:$|[^a-z])")
 BAD_PRICE, GOOD_PRICE, HIDDEN_PRICE = -9.0, 1.0, -20.0
 SMOOTH = 0.8
+#: What an element's kind weighs against the texts in it, so many short texts don't outvote it.
+KIND = 100.0
+#: What content inside boilerplate costs: a block, and an element.
+INSIDE, INSIDE_ELEMENT = 40.0, 1e5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
@@ -43,12 +48,21 @@ SPACES = re.compile(r"\s+")
 
 
 class Block:
-    """A text block: its text, the numbers of its enclosing elements, price of these, and link characters."""
+    """A text block: its text, the numbers of its enclosing elements, the holder that it hangs on (-1: none), and link characters."""
 
-    __slots__ = ("text", "path", "price", "never", "links", "tag")
+    __slots__ = ("text", "path", "holder", "never", "links", "tag")
 
-    def __init__(self, text: str, path: tuple[int, ...], price: float, never: bool, links: int, tag: str) -> None:
-        self.text, self.path, self.price, self.never, self.links, self.tag = text, path, price, never, links, tag
+    def __init__(self, text: str, path: tuple[int, ...], holder: int, never: bool, links: int, tag: str) -> None:
+        self.text, self.path, self.holder, self.never, self.links, self.tag = text, path, holder, never, links, tag
+
+
+class Holder:
+    """An element with a price: that, the holder around it (-1: none), and the sum of what speaks for content up to it."""
+
+    __slots__ = ("price", "around", "good")
+
+    def __init__(self, price: float, around: int, good: float) -> None:
+        self.price, self.around, self.good = price, around, good
 
 
 def priced(tag: str, attributes: str, in_article: bool) -> float:
@@ -74,10 +88,11 @@ def priced(tag: str, attributes: str, in_article: bool) -> float:
     return price
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order; white space within a block is one blank, character references are decoded."""
+def blocks_of(page: str) -> tuple[list[Block], list[Holder]]:
+    """Text blocks in page order, and the elements with a price; white space within a block is one blank, character references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool, bool]] = []  # tag, number, price so far, never shown, in an article
+    holders: list[Holder] = []
+    stack: list[tuple[str, int, int, bool, bool]] = []  # tag, number, holder, never shown, in an article
     parts: list[tuple[str, bool]] = []
     count, links = 0, 0
 
@@ -88,9 +103,9 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(p.strip()) for p, link in parts if link)
                 holder = next((x for x in reversed(stack) if x[0] in BLOCK), None)
-                price, never = (stack[-1][2], stack[-1][3]) if stack else (0.0, False)
+                at, never = (stack[-1][2], stack[-1][3]) if stack else (-1, False)
                 path = tuple(x[1] for x in stack if x[0] in BLOCK)
-                out.append(Block(text, path, price, never, linked, holder[0] if holder else ""))
+                out.append(Block(text, path, at, never, linked, holder[0] if holder else ""))
             parts = []
 
     def pop_to(i: int) -> None:
@@ -151,24 +166,28 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m[3].endswith("/") and tag in ("path", "circle", "rect", "use", "line", "polygon", "g"):
             continue
-        last = stack[-1] if stack else ("", 0, 0.0, False, False)
+        last = stack[-1] if stack else ("", 0, -1, False, False)
         count += 1
         never = last[3] or tag in NEVER
         if never and not last[3] and tag not in BLOCK:
             flush()
-        stack.append((tag, count, last[2] + priced(tag, m[3], last[4]), never, last[4] or tag in ("article", "main")))
+        at_holder = last[2]
+        if price := priced(tag, m[3], last[4]):
+            holders.append(Holder(price, at_holder, max(price, 0.0) + (holders[at_holder].good if at_holder >= 0 else 0.0)))
+            at_holder = len(holders) - 1
+        stack.append((tag, count, at_holder, never, last[4] or tag in ("article", "main")))
         links += tag == "a"
     flush()
-    return out
+    return out, holders
 
 
 def odds(block: Block) -> float:
-    """Log odds that a block is content."""
+    """Log odds that a block is content, by its text and tag alone."""
     if block.never:
         return -50.0
     words = block.text.count(" ") + 1
     n = len(block.text)
-    price = block.price + min(words, 40) * 0.06 - 0.6
+    price = min(words, 40) * 0.06 - 0.6
     price -= 4.0 * block.links / n if block.links * 2 > n else 1.0 * block.links / n
     if block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         price += 0.5
@@ -177,8 +196,8 @@ def odds(block: Block) -> float:
     return price
 
 
-def cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels of a minimum cut: True on the source's side. Dinic's maximum flow; edges carry their weight both ways."""
+def cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
+    """Labels of a minimum cut: True on the source's side. Dinic's maximum flow; an edge (a, b, forth, back) costs forth if only a is on that side, back if only b is."""
     n = len(source)
     s, t = n, n + 1
     to: list[int] = []
@@ -199,8 +218,8 @@ def cut(source: list[float], sink: list[float], edges: list[tuple[int, int, floa
             link(s, i, source[i] - least, 0.0)
         if sink[i] > least:
             link(i, t, sink[i] - least, 0.0)
-    for a, b, w in edges:
-        link(a, b, w, w)
+    for a, b, forth, back in edges:
+        link(a, b, forth, back)
     tiny = 1e-9
     while True:
         level = [-1] * (n + 2)
@@ -242,9 +261,10 @@ def cut(source: list[float], sink: list[float], edges: list[tuple[int, int, floa
                 a = to[e ^ 1]
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours in the page, weaker the further apart they are in the tree, and between next blocks of the same parent."""
+def smoothness(blocks: list[Block], holders: list[Holder]) -> list[tuple[int, int, float, float]]:
+    """Edges between neighbours in the page, weaker the further apart they are in the tree, between next blocks of the same parent, and from blocks and elements to the element around (holders are numbered after the blocks)."""
     edges = []
+    n = len(blocks)
     last_of: dict[int, int] = {}
     for i, b in enumerate(blocks):
         parent = b.path[-2] if len(b.path) > 1 else 0
@@ -255,21 +275,33 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
                 if x != y:
                     break
                 shared += 1
-            edges.append((i - 1, i, SMOOTH / (1 + abs(len(a.path) + len(b.path) - 2 * shared))))
+            weight = SMOOTH / (1 + abs(len(a.path) + len(b.path) - 2 * shared))
+            edges.append((i - 1, i, weight, weight))
         if parent in last_of and last_of[parent] != i - 1:
-            edges.append((last_of[parent], i, SMOOTH / 2))
+            edges.append((last_of[parent], i, SMOOTH / 2, SMOOTH / 2))
         last_of[parent] = i
+        if b.holder >= 0:
+            edges.append((i, n + b.holder, INSIDE, holders[b.holder].good))
+    for i, h in enumerate(holders):
+        if h.around >= 0:
+            edges.append((n + i, n + h.around, INSIDE_ELEMENT, holders[h.around].good))
     return edges
 
 
+def labelled(page: str) -> list[tuple[Block, float, bool]]:
+    """Of each block its own price and the label of the cut."""
+    blocks, holders = blocks_of(page)
+    if not blocks:
+        return []
+    own = [odds(b) for b in blocks]
+    prices = own + [KIND * h.price for h in holders]
+    label = cut([max(p, 0.0) for p in prices], [max(-p, 0.0) for p in prices], smoothness(blocks, holders))
+    return list(zip(blocks, own, label))
+
+
 def main_text(page: str) -> str:
     """The content blocks of a page, one to a line."""
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    prices = [odds(b) for b in blocks]
-    label = cut([max(p, 0.0) for p in prices], [max(-p, 0.0) for p in prices], smoothness(blocks))
-    return "\n".join(b.text for b, content in zip(blocks, label) if content)
+    return "\n".join(b.text for b, _, content in labelled(page) if content)
 
 
 def extracted(pages: DataFrame, html_column: str = "html", out: str = "text") -> DataFrame:
