@@ -8,6 +8,7 @@ different ones different pseudonyms, without a table of them. Separators, length
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from datetime import date
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 from runlattice.llm.common import ensure_workers_import
 
 ROUNDS = 10
-KEY = b"runlattice-demo-key"
+#: Telephone country codes of one and of two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Most values that a worker remembers.
 MEMO = 200_000
 LOWER_ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 HEX = "0123456789abcdef"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban", "secret")
+KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban", "secret", "ip6")
 
 
 class Feistel:
@@ -102,14 +104,23 @@ def card(f: Feistel, text: str) -> str | None:
 
 
 def phone(f: Feistel, text: str) -> str | None:
-    """Ten national digits are permuted; a country code stays."""
+    """The national digits are permuted, a country code stays. A number of ten digits without one is of North America, so it's the same with or without its +1."""
     d = only_digits(text)
-    code, own = d[:-10], d[-10:]
-    valid = own[0] >= "2"
-    tweak = b"phone" + code.encode()
+    if "+" in text:
+        code = next((d[:n] for n in (1, 2) if d[:n] in SHORT_CODES), d[:3])
+        if not 8 <= len(d) <= 15:
+            return None
+    else:
+        code = d[:-10]
+    own = d[len(code) :]
+    american = code in ("", "1")
+    if american and len(own) != 10:
+        return None
+    tweak = b"phone" + (b"1" if american else code.encode())
+    keep = (lambda s: s[0] >= "2") if american and own[0] >= "2" else (lambda s: s[0] != "0") if own[0] != "0" else (lambda s: True)
     while True:
         own = f.word(own, "0123456789", tweak)
-        if not valid or own[0] >= "2":
+        if keep(own):
             return refilled(text, code + own)
 
 
@@ -123,6 +134,17 @@ def ip(f: Feistel, text: str) -> str | None:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
+def ip6(f: Feistel, text: str) -> str | None:
+    """IPv6 addresses but those of local use; written in full, so an address is the same in each of its spellings."""
+    try:
+        value = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if value.is_loopback or value.is_unspecified:
+        return None
+    return ipaddress.IPv6Address(f.permute(int(value), 1 << 128, b"ip6")).exploded
+
+
 def ssn(f: Feistel, text: str) -> str | None:
     """United States social security numbers: area 001-899 without 666, group and serial not zero."""
     d = only_digits(text)
@@ -197,14 +219,15 @@ PATTERNS: tuple[tuple[str, str, Callable[[Feistel, str], str | None]], ...] = (
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:gh[pousr]|sk|pk|xox[abp])[_\-][A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])", secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("date", r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?![0-9\-/]|\.[0-9])", calendar),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}(?![0-9A-Za-z:]|\.[0-9])", ip6),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ip),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])", ssn),
-    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{11,13}(?![0-9])", phone),
+    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[ .\-/]?\(?[0-9]{1,12}\)?){1,6}(?![0-9])", phone),
     ("card", r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9A-Za-z])", card),
 )
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in PATTERNS))
-#: Some part of every pattern's values: six digits close together are in each kind of number but short addresses.
-LIKELY = re.compile(r"@|[0-9](?:[^0-9\n]{0,2}[0-9]){5}|[0-9](?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{32}|AKIA|(?:gh[pousr]|sk|pk|xox[abp])[_\-]")
+#: Some part of every pattern's values, so no text with one is passed over: six digits close together are in each kind of number but short addresses and account numbers of letters.
+LIKELY = re.compile(r"@|[0-9](?:[^0-9\n]{0,2}[0-9]){5}|\+[1-9]|[0-9A-Fa-f:]:[0-9A-Fa-f:]*:|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[0-9](?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{32}|AKIA|(?:gh[pousr]|sk|pk|xox[abp])[_\-]")
 
 
 class Masker:
@@ -239,12 +262,12 @@ class Masker:
         return ANY.sub(swap, text), counts
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, text with pseudonyms, n_replaced, and n_<kind> of each kind.
 
     A map over rows without a shuffle: linking needs no table, as the key makes equal values equal. A null text stays null with counts of 0. Values that fail their validation
     (dates that don't exist, addresses out of range, IBANs with wrong check digits) stay as they are; long numbers count as card
-    numbers whether or not their check digit is right. Very small formats are permuted too, so a value may be its own pseudonym by chance.
+    numbers whether or not their check digit is right, which only stays as right or wrong as it was: a mistyped card number is personal data too. Repeated rows give repeated results, an empty table none. Very small formats are permuted too, so a value may be its own pseudonym by chance.
     """
     ensure_workers_import(docs.sparkSession)
     held: list[Masker] = []

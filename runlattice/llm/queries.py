@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality, suffix_dedup, token_output, toxicity
 from runlattice.llm.common import table
 
+#: The key of the registered query, so its results can be repeated; a deployment passes its own secret.
+KEY = b"runlattice-test-key"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,7 +25,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key=KEY)
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
