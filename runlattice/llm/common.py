@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlattice.storage import dropped, fresh, shared_dir, stored  # noqa: F401
+
 #: Lower-cases A-Z and leaves every other byte alone.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Most words that a worker remembers at once; beyond it the memory is emptied, which changes no result.
@@ -26,47 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where all is one machine, a new one stands in for it."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(sc, "_runlattice_shared", None)
-        if not base:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            base = sc._runlattice_shared = "file://" + tempfile.mkdtemp(prefix="runlattice-")
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
-
-    The files outlive lost executors. They go with ``dropped``, or with the checkpoint folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name like name that df doesn't use, whatever its case."""
-    used = {c.lower() for c in df.columns}
-    while name.lower() in used:
-        name += "_"
-    return name
-
-
 def scan_bytes(df: DataFrame) -> int:
     """Size estimate of df's scan from Spark's statistics; no job runs."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

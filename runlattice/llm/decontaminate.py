@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlattice.llm.common import LOWER, distinct_sorted, ensure_workers_import, shingle_hashes, text_bytes, words_of
+from runlattice.llm.common import LOWER, distinct_sorted, ensure_workers_import, fresh, shingle_hashes, text_bytes, words_of
 
 K = 5
 #: Containment threshold as a fraction of integers.
@@ -164,9 +164,10 @@ def contained(docs: DataFrame, bench: DataFrame, k: int = K, doc_id: str = "doc_
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, **options: object) -> DataFrame:
-    """docs without the documents that contain a benchmark item; a null id is kept."""
-    hit = contained(docs, bench, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[options.get("doc_id", "doc_id")].cast("bigint") == F.col("__hit"), "left_anti")
+    """docs without the documents that contain a benchmark item; columns as before, whatever their names. A null id is kept, rows that share an id go together, empty tables take nothing away."""
+    name = fresh(docs, "hit")
+    hit = contained(docs, bench, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col(f"`{options.get('doc_id', 'doc_id')}`").cast("bigint") == F.col(name), "left_anti")
 
 
 ORACLE = r"""

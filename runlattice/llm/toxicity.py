@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlattice.llm.common import ensure_workers_import
+from runlattice.llm.common import ensure_workers_import, fresh
 
 #: Most labelled documents that the lexicon and the model are learnt from: those with the least hash of their id.
 TRAINING_DOCS = 20_000
@@ -343,7 +343,7 @@ def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DO
         return Model([], [], w)
     log_odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     z = log_odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    good_terms = counts.filter("word <> '' AND length(word) <= 40").select("word", "bad", log_odds.alias("odds"), z.alias("z"))
+    good_terms = counts.filter("word <> ''").select("word", "bad", log_odds.alias("odds"), z.alias("z"))
     good_terms = good_terms.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
     terms = chosen(good_terms.collect())
     model = Model([r["word"] for r in terms], [r["odds"] for r in terms], np.zeros(N_FEATURES))
@@ -363,7 +363,7 @@ def learned(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DO
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column out (0 to 1) added, replacing one of that name; a null text counts as empty.
+    """docs with a column out (0 to 1) added, replacing one of that name; a null text counts as empty, repeated rows have equal scores.
 
     A map over rows: no shuffle, one Arrow batch at a time.
     """
@@ -385,7 +385,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
 
 
 def held_out(doc_id: str = "doc_id") -> object:
-    return F.expr(f"crc32(CAST(CAST(`{doc_id}` AS STRING) AS BINARY)) % 5 = 0")
+    """Whether the remainder of the id is 0; false without an id."""
+    return F.expr(f"coalesce(crc32(CAST(CAST(`{doc_id}` AS STRING) AS BINARY)) % 5 = 0, false)")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -395,5 +396,6 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that score 0.5 or more."""
-    return scored(docs, learned(docs, labels), out="__score").filter("__score < 0.5").drop("__score")
+    """docs without those that score 0.5 or more; columns as before, whatever their names. Null texts count as empty, repeated rows go or stay together, an empty table stays empty."""
+    score = fresh(docs, "score")
+    return scored(docs, learned(docs, labels), out=score).filter(F.col(score) < 0.5).drop(score)
