@@ -25,7 +25,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     was = fresh(docs, "was")
     kept = line_dedup.deduplicated(docs.withColumn(was, F.length("text")), text="text")
     words = F.length(F.translate("text", " \t\n\x0b\f\r", ""))
-    unchanged = F.col(was) == F.length("text")
+    unchanged = F.col(was).eqNullSafe(F.length("text"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(unchanged, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return kept.filter(F.col("text").isNull() | unchanged | (words > 0)).drop(was)
