@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,12 @@ from runlattice.llm.common import ensure_workers_import, shared_dir, stored
 #: Options of Spark's ORC writer.
 ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: Most distinct words a worker remembers; beyond it the memory is emptied.
-MEMO = 500_000
+MEMO = 800_000
 END_ID = 1
 
 
 #: Letters that every version of Unicode's tables knows as such and that compose with nothing before them.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Marks that are one piece after a word; none of them starts another pattern or an added token.
 MARKS = ".,;:!?%&*#"
 #: Words that are given to the library as one text.
@@ -68,31 +70,37 @@ class WordEncoder:
 
     def together(self, stems: list[str]) -> None:
         texts = [" ".join(stems[i : i + TOGETHER]) for i in range(0, len(stems), TOGETHER)]
-        ids = np.array([i for got in self.lib.encode_batch_fast(texts, add_special_tokens=False) for i in got.ids], dtype="<u4")
+        ids = np.array(list(chain.from_iterable(got.ids for got in self.lib.encode_batch_fast(texts, add_special_tokens=False))), dtype="<u4")
         ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
         if len(ends) != len(stems):
             raise ValueError("a word of letters must end in one last token")
         raw = ids.tobytes()
-        self.stems.update((stem, raw[a:b]) for stem, a, b in zip(stems, [0, *ends], ends))
+        self.stems.update(zip(stems, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
     def learn(self, new: set[str]) -> None:
+        """Ids of unseen words; classes of words are worked out by Arrow for all of them at once."""
         if self.last is None:
             return self.alone(list(new))
-        parts, other = [], set()
-        for word in new:
-            stem = word.rstrip(MARKS)
-            if stem.isascii() and stem.isalpha():
-                parts.append((word, stem.lower(), word[len(stem) :]))
-            elif LETTERS(stem):
-                parts.append((word, stem, word[len(stem) :]))
-            else:
-                other.add(word)
-        self.together(list({p[1] for p in parts} - self.stems.keys()))
-        other |= {p[2] for p in parts}
-        self.alone(list(other - self.memo.keys()))
+        words = pa.array(list(new), pa.string())
+        stem = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(stem, LETTERS)
+        self.alone(words.filter(pc.invert(plain)).to_pylist())
+        words, stem = words.filter(plain), stem.filter(plain)
+        if not len(words):
+            return
+        coded = pc.ascii_lower(stem).dictionary_encode()
         stems, memo = self.stems, self.memo
-        for word, stem, marks in parts:
-            memo[word] = stems[stem] + memo[marks] if marks else stems[stem]
+        some = coded.dictionary.to_pylist()
+        self.together([x for x in some if x not in stems])
+        ids = list(map(stems.__getitem__, some))
+        of_stem = np.asarray(coded.indices)
+        bare = np.asarray(pc.equal(pc.binary_length(stem), pc.binary_length(words)))
+        words = words.to_numpy(zero_copy_only=False)
+        memo.update(zip(words[bare].tolist(), map(ids.__getitem__, of_stem[bare].tolist())))
+        marked = words[~bare].tolist()
+        marks = [w[len(w.rstrip(MARKS)) :] for w in marked]
+        self.alone(list(set(marks) - memo.keys()))
+        memo.update(zip(marked, map(add, map(ids.__getitem__, of_stem[~bare].tolist()), map(memo.__getitem__, marks))))
 
     def packed(self, texts: list[str], end: bytes = b"") -> list[bytes]:
         """Ids of each text, then end, as little-endian 32-bit integers."""
@@ -100,11 +108,16 @@ class WordEncoder:
             self.memo.clear()
             self.stems.clear()
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*pieces) - self.memo.keys()
+        known = self.memo.get
+        got = [list(map(known, p)) for p in pieces]
+        unknown = [[i for i, x in enumerate(g) if x is None] for g in got]
+        new = {p[i] for p, places in zip(pieces, unknown) for i in places}
         if new:
             self.learn(new)
-        ids_of = self.memo.__getitem__
-        return [b"".join(map(ids_of, p)) + end for p in pieces]
+            for p, g, places in zip(pieces, got, unknown):
+                for i in places:
+                    g[i] = known(p[i])
+        return [b"".join(g) + end for g in got]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
