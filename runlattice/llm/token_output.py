@@ -160,7 +160,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Where each document's ids lie in the whole sequence: doc_id, start, n_tokens, ids_crc32.
 
-    The files are read once; only counts and checksums leave the readers, as a small stored table. Each file's rows are summed in id order within the file and moved on by the total of the
+    The files are read once, a stripe or more to a task; only counts and checksums leave the readers, as a small stored table. The window over all is one of one row a file. Each file's rows are summed in id order within the file and moved on by the total of the
     files before it; rows with the same id are ordered by checksum.
     """
     ensure_workers_import(spark)
@@ -181,8 +181,11 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def written_index(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes docs to a new folder of the shared store and returns the index read back from there."""
+    """Writes docs to a new folder of the shared store and returns the index read back from there; the folder goes once it is read."""
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, out, tokenizer)
-    return token_index(spark, out)
+    index = token_index(spark, out)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return index

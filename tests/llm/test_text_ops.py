@@ -184,6 +184,50 @@ def test_token_files(docs, nothing):
     assert token_output.written_index(nothing, tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_token_files_have_indexes_that_prune(spark, tmp_path):
+    """Row indexes, Bloom filters on doc_id and run-length encoding are in the files; lookups read single row groups; stripes are read apart."""
+    r = random.Random(11)
+    df = spark.createDataFrame([(3 * i, sentence(r, 40)) for i in range(6000)], "doc_id bigint, text string").repartition(1)
+    out = f"file://{tmp_path}/tokens"
+    options = token_output.ORC_OPTIONS | {"orc.stripe.size": "100000", "orc.stripe.row.count": "2000"}
+    old, token_output.ORC_OPTIONS = token_output.ORC_OPTIONS, options
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        token_output.write_tokens(df, out, tokenizer_path("word_bpe_49k.json"))
+    finally:
+        token_output.ORC_OPTIONS = old
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = sorted(tmp_path.glob("tokens/*.orc"))
+    stripes = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        stripes += reader.getStripes().size()
+        assert reader.getRowIndexStride() == 1000
+        footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+        kinds = {(s.getColumn(), str(s.getKind())) for s in footer.getStreamsList()}
+        assert (1, "ROW_INDEX") in kinds and (1, "BLOOM_FILTER_UTF8") in kinds
+        assert all(str(footer.getColumns(i).getKind()) == "DIRECT_V2" for i in (1, 2, 3))
+    assert stripes > len(files)
+
+    def rows_read(condition):
+        got = token_output.read_tokens(spark, out).filter(condition)
+        n = len(got.collect())
+        return n, got._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert rows_read("doc_id >= 0") == (6000, 6000)
+    n, read = rows_read("doc_id = 9000")
+    assert n == 1 and read <= 1000
+    n, read = rows_read("doc_id = 9001")  # within the minima and maxima; only the Bloom filter rules it out
+    assert n == 0 and read == 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        assert token_output.read_tokens(spark, out).rdd.getNumPartitions() > len(files)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+
 def test_token_files_prune_by_id(spark, docs, tmp_path):
     token_output.write_tokens(docs, str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json"))
     assert token_output.read_tokens(spark, str(tmp_path / "t")).filter("doc_id = 53").count() == 1
