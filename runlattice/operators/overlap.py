@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +93,8 @@ def pixels(df: DataFrame, mask: str = "mask") -> DataFrame:
 def visible(df: DataFrame, keys: Sequence[str], id_column: str, depth: Column, mask: str = "mask", parts: int = 1) -> DataFrame:
     """keys, id, mask of what each mask shows when those of less depth lie over it (least id among equal ones); hidden masks don't appear.
 
-    The runs of a group's masks are painted, batch by batch, on one canvas of its extent, which is all that a task holds; masks of a
-    group must have one extent. With parts above 1 a group is first painted in so many tasks by id, for groups with very many layers.
+    The runs of the masks are painted from the back on a canvas of their group's extent, batch by batch; a task holds one batch and what shows of one group.
+    Masks of a group must have one extent; null masks are left out. With parts above 1 a group is first painted in so many tasks by id, for groups with very many layers.
     """
     of = {c: df.schema[c].dataType for c in [*keys, id_column]}
     rows = df.filter(F.col(mask).isNotNull()).select(*keys, F.col(id_column), depth.alias("__depth"), F.col(mask).alias("__m"))
@@ -104,46 +105,61 @@ def visible(df: DataFrame, keys: Sequence[str], id_column: str, depth: Column, m
 
 
 def _painted(rows: DataFrame, keys: Sequence[str], id_column: str, of: dict[str, T.DataType]) -> DataFrame:
-    """Rows of (keys, id, __depth, __m) with the parts of the masks that show."""
+    """Rows of (keys, id, __depth, __m) with the parts of the masks that show. What a batch leaves of its last group goes on to the next batch."""
     schema = T.StructType([*(T.StructField(c, of[c]) for c in [*keys, id_column]), T.StructField("__depth", rows.schema["__depth"].dataType), T.StructField("__m", T._parse_datatype_string(masks.MASK))])
-    n = len(keys)
+    names = [*keys, id_column, "__depth", "__m"]
 
-    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = nearest = size = key = None
-        layers: list[tuple] = []
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
         for batch in batches:
-            flat, names = masks.Flat(batch.column("__m")), batch.column(id_column).to_pylist()
-            depths = batch.column("__depth").to_pylist()
-            if owner is None:
-                size, key, kinds = (int(flat.h[0]), int(flat.w[0])), batch.slice(0, 1), batch.schema
-                owner, nearest = np.full(size[0] * size[1], -1, dtype=np.int64), np.full(size[0] * size[1], np.inf)
-            if ((flat.h != size[0]) | (flat.w != size[1])).any():
-                raise kernels.MaskError("masks differ in extent")
-            first = len(layers)
-            layers.extend(zip(depths, names))
-            for i, s, e in zip(flat.owner.tolist(), flat.start.tolist(), flat.end.tolist()):
-                d, was = depths[i], nearest[s:e]
-                over = d < was
-                if not over.all() and (level := np.flatnonzero(was == d)).size:
-                    own = owner[s:e]
-                    for other in np.unique(own[level]).tolist():
-                        if names[i] < layers[other][1]:
-                            over |= own == other
-                owner[s:e][over] = first + i
-                was[over] = d
-        if owner is None:
-            return
-        turn = np.flatnonzero(np.diff(owner, prepend=-2))
-        stop, who = np.append(turn[1:], len(owner)), owner[turn]
-        shown = np.unique(who[who >= 0])
-        if not len(shown):
-            return
-        out = masks.to_arrow([kernels.from_intervals(*size, turn[who == i], stop[who == i]) for i in shown.tolist()])
-        columns = [pa.array(key.column(c).to_pylist() * len(shown), kinds.field(c).type) for c in range(n)]
-        columns += [pa.array([layers[i][1] for i in shown.tolist()], kinds.field(id_column).type), pa.array([layers[i][0] for i in shown.tolist()], kinds.field("__depth").type), out]
-        yield pa.RecordBatch.from_arrays(columns, [*keys, id_column, "__depth", "__m"])
-
-    return rows.groupBy(*keys).applyInArrow(paint, schema)
+            batch = pa.RecordBatch.from_arrays([*batch.columns[:-1], masks.to_arrow(masks.masks_of(batch.column("__m")))], names)
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            shown, groups = _shown(batch, list(keys), id_column)
+            last = groups == groups[-1] if len(groups) else np.empty(0, dtype=bool)
+            yield shown.filter(pa.array(~last))
+            held = shown.filter(pa.array(last))
+        if held is not None:
+            yield held
+
+    return rows.select(names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def _shown(batch: pa.RecordBatch, keys: list[str], id_column: str) -> tuple[pa.RecordBatch, np.ndarray]:
+    """What shows of the masks of a batch sorted by keys, and the number of the group of each row: groups side by side on one canvas, painted from the back."""
+    at = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+    group = np.cumsum([0] + [a != b for a, b in zip(at, at[1:])])[: len(at)]
+    flat = masks.Flat(batch.column("__m"))
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    h, w = flat.h[first], flat.w[first]
+    if ((flat.h != h[group]) | (flat.w != w[group])).any():
+        raise kernels.MaskError("masks differ in extent")
+    offset = np.concatenate([[0], np.cumsum(h * w)])
+    rank = np.empty(len(at), dtype=np.int64)
+    rank[np.asarray(pc.sort_indices(pa.table({"d": batch.column("__depth"), "i": batch.column(id_column)}), sort_keys=[("d", "descending"), ("i", "descending")]))] = np.arange(len(at))
+    order = np.argsort(rank[flat.owner], kind="stable")
+    base, owner = offset[group[flat.owner]][order], flat.owner[order]
+    canvas = np.full(offset[-1], -1, dtype=np.int64)
+    for s, e, i in zip((flat.start[order] + base).tolist(), (flat.end[order] + base).tolist(), owner.tolist()):
+        canvas[s:e] = i
+    turn = np.flatnonzero(np.diff(canvas, prepend=-1))
+    stop, who = np.append(turn[1:], len(canvas)), canvas[turn]
+    turn, stop, who = (x[who >= 0] for x in (turn, stop, who))
+    order = np.argsort(who, kind="stable")
+    turn, stop, who = (x[order] for x in (turn, stop, who))
+    rows, begin = np.unique(who, return_index=True)
+    turn, stop = turn - offset[group[who]], stop - offset[group[who]]
+    before = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+    before[begin] = 0
+    counts = np.stack([turn - before, stop - turn], axis=1).ravel()
+    finish = np.append(begin[1:], len(who)) if len(begin) else begin
+    tail = h[group[rows]] * w[group[rows]] - stop[finish - 1] if len(rows) else rows
+    counts = np.insert(counts, 2 * finish[tail > 0], tail[tail > 0])
+    ends = np.concatenate([[0], 2 * finish + np.cumsum(tail > 0)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(counts.astype(np.int32)))
+    some = batch.take(pa.array(rows))
+    shown = pa.StructArray.from_arrays([pa.array(x[group[rows]].astype(np.int32)) for x in (h, w)] + [lists], fields=list(masks.MASK_ARROW))
+    return pa.RecordBatch.from_arrays([*some.columns[:-1], shown], batch.schema.names), group[rows]
 
 
 def merge_to_label_map(df: DataFrame, keys: Sequence[str], ordinal: str, mask: str = "mask") -> DataFrame:
