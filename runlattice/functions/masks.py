@@ -265,13 +265,38 @@ def from_dict(d: ColumnLike, kind: str = "counts") -> Column:
     return from_coco(d["counts"] if kind == "counts" else inflate(d["zcounts"]), h, w)
 
 
-def to_array(m: ColumnLike, value: int = 1) -> Column:
-    """Catalyst-only: column-major pixels, value on foreground; runs that don't fill the extent raise."""
-    h, w, c = fields(m)
+def to_array(m: ColumnLike, value: int = 1, order: str = "F") -> Column:
+    """Pixels by columns ('F', Catalyst-only) or by rows ('C'), value on foreground; runs that don't fill the extent raise."""
+    if order not in ("C", "F"):
+        raise ValueError("order is 'C' or 'F'")
+    h, w, c = fields(transpose(m) if order == "C" else m)
     pixels = F.flatten(F.transform(c, lambda n, i: F.array_repeat(F.when(i % 2 == 1, F.lit(value)).otherwise(F.lit(0)), n)))
     return F.when(F.assert_true(is_valid(m)).isNull(), pixels)
 
 
+def decode_channels(m: ColumnLike, image: ColumnLike, values: Sequence[int]) -> Column:
+    """Catalyst-only: paints the foreground into a column-major array of pixels of several channels, side by side for each pixel, one value for each channel."""
+    n = len(values)
+    on, colours = to_array(m, 1), F.array(*[F.lit(v) for v in values])
+    return F.transform(_col(image), lambda old, i: F.when(F.get(on, F.floor(i / n).cast("int")) == 1, F.get(colours, i % n)).otherwise(old))
+
+
+def equal(a: ColumnLike, b: ColumnLike) -> Column:
+    """Catalyst-only: same extent and pixels; masks are canonical, so same runs."""
+    return _col(a) == _col(b)
+
+
+def pad_sides(m: ColumnLike, sides: Sequence[int], **options: object) -> Column:
+    """Pad by [left, right, top, bottom]."""
+    left, right, top, bottom = sides
+    return pad(m, top, bottom, left, right, **options)
+
+
+def tight_crop_and_box(m: ColumnLike) -> Column:
+    """struct<mask, box>: the crop to the foreground's box, and that box."""
+    return F.struct(tight_crop(m).alias("mask"), bbox(m).alias("box"))
+
+
 def decode_into(m: ColumnLike, image: ColumnLike, value: int = 1) -> Column:
     """Catalyst-only: paints the foreground into a column-major pixel array."""
     return F.zip_with(to_array(m, 1), _col(image), lambda on, old: F.when(on == 1, F.lit(value)).otherwise(old))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,24 @@ add("hu_moments", lambda s, d: datasets.emb8(s, d).filter(masks.any_set("mask"))
 EDGE = "SELECT e.id, e.x, e.y FROM e LEFT JOIN (SELECT id, x, y FROM (SELECT id, x + 1 AS x, y FROM e UNION ALL SELECT id, x - 1, y FROM e UNION ALL SELECT id, x, y + 1 FROM e UNION ALL SELECT id, x, y - 1 FROM e) GROUP BY id, x, y HAVING count(*) = 4) AS c ON c.id = e.id AND c.x = e.x AND c.y = e.y WHERE c.id IS NULL"
 measure("perimeter", lambda m: [masks.perimeter(m).alias("perimeter")], f"SELECT b.id, count(c.x) AS perimeter FROM b LEFT JOIN ({EDGE}) AS c USING (id) GROUP BY b.id")
 
+add(
+    "to_array_rows",
+    lambda s, d: datasets.emb8(s, d).select("id", F.array_join(masks.to_array(masks.crop("mask", 0, 0, 5, 3), 7, order="C").cast("array<string>"), "").alias("pixels")),
+    f"WITH {px.EMB8} SELECT id, string_agg(CASE WHEN e.id IS NULL THEN '0' ELSE '7' END, '' ORDER BY y * 8 + x) AS pixels FROM b CROSS JOIN (SELECT * FROM g WHERE x < 5 AND y < 3) LEFT JOIN e USING (id, x, y) GROUP BY id",
+)
+add(
+    "decode_channels",
+    lambda s, d: datasets.emb8(s, d).select("id", F.array_join(masks.decode_channels("mask", F.sequence(F.lit(0), F.lit(191)), [7, 8, 9]), " ").alias("pixels")),
+    f"WITH {px.EMB8} SELECT id, string_agg(CASE WHEN e.id IS NULL THEN (x * 8 + y) * 3 + c ELSE 7 + c END, ' ' ORDER BY x * 8 + y, c) AS pixels FROM b CROSS JOIN g CROSS JOIN (VALUES (0), (1), (2)) AS k(c) LEFT JOIN e USING (id, x, y) GROUP BY id",
+)
+add(
+    "equal",
+    lambda s, d: emb8_pairs(s, d).select("id", masks.equal("mask", F.when(F.col("id") % 2 == 0, F.col("mask")).otherwise(F.col("mask2"))).alias("same"), masks.equal("mask", masks.make(F.lit(4), F.lit(16), F.col("mask.counts"))).alias("other_shape")),
+    f"WITH {px.EMB8}{px.PAIR} SELECT id, id % 2 = 0 OR sum(abs(a - c)) = 0 AS same, false AS other_shape FROM i GROUP BY id",
+)
+of_mask("pad_sides", lambda m: masks.pad_sides(m, [3, 0, 1, 2]), px.counts("SELECT id, x + 3 AS x, y + 1 AS y FROM e", "SELECT id, 11 AS h, 11 AS w FROM b"))
+add("tight_box", lambda s, d: datasets.emb8(s, d).select("id", masks.tight_crop_and_box("mask").alias("t")).select("id", masks.area("t.mask").alias("area"), *[F.col(f"t.box.{c}").alias(c) for c in "xywh"]), f"WITH {px.EMB8} SELECT id, count(e.x) AS area, coalesce(min(x), 0)::DOUBLE AS x, coalesce(min(y), 0)::DOUBLE AS y, coalesce(max(x) - min(x) + 1, 0)::DOUBLE AS w, coalesce(max(y) - min(y) + 1, 0)::DOUBLE AS h FROM b LEFT JOIN e USING (id) GROUP BY id")
+
 # -- boolean algebra
 
 of_mask("complement", masks.complement, px.counts("SELECT id, x, y FROM n"))
@@ -191,8 +210,19 @@ of_mask("warp_translate", lambda m: masks.warp_affine(m, [1, 0, 2, 0, 1, -1], 8,
 of_mask("warp_scale", lambda m: masks.warp_affine(m, [2, 0, 1, 0, 3, -2], 20, 18), px.counts(px.remapped((3, -2, 20), (2, 1, 18)), extent(20, 18)))
 of_mask("warp_rotate", lambda m: masks.warp_affine(m, [0, 1, 0, -1, 0, 8], 8, 8), px.counts("SELECT id, y AS x, 7 - x AS y FROM e"))
 of_mask("warp_perspective_scale", lambda m: masks.warp_perspective(m, [4, 0, 0, 0, 4, 0, 0, 0, 2], 16, 16), px.counts("SELECT id, 2 * x + i AS x, 2 * y + j AS y FROM e, (VALUES (0), (1)) AS i(i), (VALUES (0), (1)) AS j(j)", extent(16, 16)))
-of_mask("warp_perspective", lambda m: masks.warp_perspective(m, [1.2, 0.1, 0.3, 0.05, 1.1, 0.2, 0.01, 0.02, 1.0], 10, 10))
-of_mask("warp_affine_shear", lambda m: masks.warp_affine(m, [0.9, -0.4, 3.0, 0.4, 0.9, 0.0], 12, 12))
+
+
+def sampled_back(x: str, y: str, h: int, w: int) -> str:
+    """Destination pixels whose middle (u, v) lies, mapped back by x and y, in a foreground pixel."""
+    return px.counts(f"SELECT e.id, d.dx AS x, d.dy AS y FROM (SELECT *, ceil({x}) - 1 AS sx, ceil({y}) - 1 AS sy FROM (SELECT *, dx + 0.5::DOUBLE AS u, dy + 0.5::DOUBLE AS v FROM (SELECT unnest(range(0, {w})) AS dx), (SELECT unnest(range(0, {h})) AS dy))) AS d JOIN e ON e.x = d.sx AND e.y = d.sy", extent(h, w))
+
+
+HOMOGRAPHY = [1.2, 0.1, 0.3, 0.05, 1.1, 0.2, 0.01, 0.02, 1.0]
+_i = [f"({v!r}::DOUBLE)" for v in np.linalg.inv(np.reshape(HOMOGRAPHY, (3, 3))).ravel().tolist()]
+_row = lambda r: f"({_i[3 * r]} * u + {_i[3 * r + 1]} * v + {_i[3 * r + 2]})"
+of_mask("warp_perspective", lambda m: masks.warp_perspective(m, HOMOGRAPHY, 10, 10), sampled_back(f"{_row(0)} / {_row(2)}", f"{_row(1)} / {_row(2)}", 10, 10))
+_det = "(0.9::DOUBLE * 0.9::DOUBLE + 0.4::DOUBLE * 0.4::DOUBLE)"
+of_mask("warp_affine_shear", lambda m: masks.warp_affine(m, [0.9, -0.4, 3.0, 0.4, 0.9, 0.0], 12, 12), sampled_back(f"(0.9::DOUBLE * (u - 3) + 0.4::DOUBLE * v) / {_det}", f"(0.9::DOUBLE * v - 0.4::DOUBLE * (u - 3)) / {_det}", 12, 12))
 EYE = [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
 of_mask("warp_distorted", lambda m: masks.warp_distorted(m, EYE, EYE, [8.0, 0, 4, 0, 8, 4, 0, 0, 1], [8.0, 0, 4, 0, 8, 4, 0, 0, 1], [-0.2, 0.05] + [0.0] * 10, [0.0] * 12, 8, 8))
 of_mask("max_pool", masks.max_pool2x2, px.counts(px.blocks(1), extent(4, 4)))
