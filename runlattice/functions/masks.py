@@ -94,7 +94,7 @@ class Flat:
         lists = array.field("counts")
         self.valid = np.asarray(array.is_valid()) & np.asarray(array.field("h").is_valid()) & np.asarray(array.field("w").is_valid())
         self.h, self.w = (np.asarray(array.field(c).fill_null(0), dtype=np.int64) for c in "hw")
-        ends = np.asarray(lists.offsets, dtype=np.int64)
+        ends = np.asarray(lists.offsets, dtype=np.int64) if len(array) else np.zeros(1, dtype=np.int64)
         flat = np.asarray(lists.values, dtype=np.int64)[ends[0] : ends[-1]]
         ends = ends - ends[0]
         self.rows, size = len(array), np.diff(ends)
