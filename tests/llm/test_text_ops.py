@@ -96,7 +96,7 @@ def test_minhash_repeated_and_null_ids(spark):
     assert [g for g in got if g[0] > 0] == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
 
 
-@pytest.mark.parametrize("few,small", [(8, 64), (0, 64), (0, 3)])
+@pytest.mark.parametrize("few,small", [(0, 64), (0, 3)])
 def test_hot_group_without_all_pairs(spark, monkeypatch, few, small):
     monkeypatch.setattr(minhash, "FEW", few)
     monkeypatch.setattr(minhash, "SMALL", small)
