@@ -2,8 +2,8 @@
 
 Two permutations of 2^20 places make every signature coordinate: the first places a shingle, the second, circularly shifted by the coordinate's number,
 ranks the places; a coordinate is the least rank. The ranks of all shifts of a place lie next to each other in memory, so a signature is a
-minimum over contiguous slices. Bands of coordinates bring similar sets together; pairs are confirmed by exact Jaccard similarity of
-full shingle sets.
+minimum over contiguous slices. Bands of coordinates bring similar sets together; only documents with a common band get the more numerous and longer bands
+that groups are made of, so that texts with no more than a passage in common seldom meet. Pairs are confirmed by exact Jaccard similarity of full shingle sets.
 
 Groups of any size are handled without forming all their pairs. Equal sets are one class. In a group every member is compared with one pivot, the
 most central; members that are linked are one component, and groups within one component are settled. In the others only pairs across components matter. Where few members lie outside the
@@ -32,6 +32,8 @@ PLACES_BITS = 20
 #: A pair at a similarity of 0.8 shares no band with a probability of (1 - 0.8^4)^40, below 1e-9.
 ROWS, BANDS = 4, 40
 NUMERATOR, DENOMINATOR = 4, 5
+#: Bands by which only documents with a common band are grouped: 0.8 misses with (1 - 0.8^8)^120, below 3e-10; 0.4 meets in 8 of 100 pairs, with the bands above in 64.
+FINE_ROWS, FINE_BANDS = 8, 120
 #: Members outside the largest component of a group that are compared with all others; at most so many pairs a member come of it.
 FEW = 8
 #: The same for groups with a rare shingle in common; where more lie outside, the group gets a pivot of its own.
@@ -75,6 +77,7 @@ class Circulant:
 
 
 _CIRCULANT: list[Circulant] = []
+_FINE: list[Circulant] = []
 
 
 def signed(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
@@ -98,6 +101,32 @@ def signed(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(each, "doc bigint, n bigint, class_key binary, bands array<bigint>, z binary")
 
 
+def finely_grouped(texts: DataFrame, k: int) -> DataFrame:
+    """Groups (g, doc, n) by longer bands of the documents (doc, z), of which only few that are less alike than a link demands meet."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not _FINE:
+            _FINE.append(Circulant(FINE_ROWS, FINE_BANDS, SEED + 1))
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            n, bands = [], []
+            for z in batch.column(1):
+                s = shingle_set(unpack(z.as_py()), k)
+                n.append(len(s))
+                bands.append(_FINE[0].band_keys(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "n", "bands"])
+
+    return texts.select("doc", "z").mapInArrow(each, "doc bigint, n bigint, bands array<bigint>").select(F.explode("bands").alias("g"), "doc", "n")
+
+
+def shared(groups: DataFrame) -> DataFrame:
+    """The stored rows (g, doc, n) of groups with several members, with their number m."""
+    groups = stored(groups, "banded")
+    out = stored(groups.join(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").hint("merge"), "g"), "groups")
+    dropped(groups)
+    return out
+
+
 def _sets(column: pa.Array, ids: list[int], k: int, held: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
     unpack = zstandard.ZstdDecompressor().decompress
     for i, z in zip(ids, column):
@@ -238,13 +267,16 @@ def linked(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return stored(verified(edges, texts, k).filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
 
 
-def joined_components(found: list[DataFrame], before: DataFrame | None) -> DataFrame:
-    edges = found[0]
-    for f in found[1:]:
-        edges = edges.union(f)
-    after = components(edges)
-    if before is not None:
+def joined_components(links: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The components (node, root) that the stored links and those found before make; both tables are dropped if they are no longer needed."""
+    if before is None:
+        after = components(links)
+    elif links.isEmpty():
+        after = before
+    else:
+        after = components(links.union(before.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         dropped(before)
+    dropped(links)
     return after
 
 
@@ -254,10 +286,11 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
     The pivot of a group is its most central member: that in the most and largest groups. In a family of edited copies this is one with few
     edits, to which nearly all that can be linked is linked at once.
     """
-    found: list[DataFrame] = []
     roots: DataFrame | None = None
-    texts: DataFrame | None = None
-    groups = stored(groups.join(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").hint("merge"), "g"), "groups")
+    alike = stored(groups.join(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").hint("merge"), "g").select("doc").distinct(), "alike")
+    texts = stored(all_texts.join(alike.hint("merge"), "doc", "left_semi"), "texts")
+    dropped(alike)
+    groups = shared(finely_grouped(texts, k))
     while not groups.isEmpty():
         if roots is not None:  # settled by now?
             labelled = with_roots(groups, roots)
@@ -270,13 +303,11 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
         pivots = members.join(central, "doc").groupBy("g").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("pivot"))
         around = stored(members.join(pivots, "g").select("g", "doc", "n", "pivot"), "around")
         dropped(members)
-        if texts is None:  # later groups are parts of these
-            texts = stored(all_texts.join(around.select("doc").distinct().hint("merge"), "doc", "left_semi"), "texts")
         edges = stored(around.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), "edges")
         star = stored(verified(edges, texts, k), "stars")
         dropped(edges)
-        found.append(stored(star.filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links"))
-        roots = joined_components(found, roots)
+        links = stored(star.filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
+        roots = joined_components(links, roots)
 
         few, many = apart(with_roots(around, roots), ["g"], FEW)
         dropped(around)
@@ -294,13 +325,12 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
             pairs = pairs.union(pairs_with_room(family)).union(pairs_with_rare(few))
             groups = stored(many.select(F.xxhash64("b", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
         edges = stored(pairs.distinct(), "pairs")
-        found.append(linked(edges, texts, k))
+        links = linked(edges, texts, k)
         for t in [*over, edges]:
             if t is not groups:
                 dropped(t)
-        roots = joined_components(found, roots)
-    if texts is not None:
-        dropped(texts)
+        roots = joined_components(links, roots)
+    dropped(texts)
     dropped(groups)
     return roots
 

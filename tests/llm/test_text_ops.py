@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality, suffix_dedup, token_output, toxicity
+from runlattice.llm import components as graph
 from runlattice.llm.queries import tokenizer_path
 
 WORDS = ["alpha", "beta", "Gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "Über", "naïve", "x1"]
@@ -114,6 +115,34 @@ def test_hot_group_without_all_pairs(spark, monkeypatch, few, small):
     assert got == want
 
 
+def test_documents_with_a_passage_in_common_seldom_meet(spark, monkeypatch):
+    """Thirty of seventy shingles are shared by all: a similarity of 0.27, which bands of four coordinates bring together in 1 of 5 pairs."""
+    compared = []
+    real = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda edges, *rest: (compared.append(edges.count()), real(edges, *rest))[1])
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(33))
+    rows = [(i, passage + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(37))) for i in range(300)]
+    rows += [(300 + i, t + " end") for i, t in rows[:5]]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i, _ in rows}
+    assert sum(compared) < len(rows)
+
+
+def test_components_on_driver_and_in_rounds(spark, monkeypatch):
+    r = random.Random(6)
+    links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7)]
+    parent = list(range(200))
+    for _ in parent:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    want = {i: p for i, p in enumerate(parent) if p != i}
+    edges = spark.createDataFrame(links, "a bigint, b bigint")
+    for most in (1000, 10):
+        monkeypatch.setattr(graph, "DRIVER_LINKS", most)
+        assert {x["node"]: x["root"] for x in graph.components(edges).collect()} == want
+
+
 # -- pseudonyms
 
 
