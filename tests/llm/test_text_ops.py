@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runlattice.llm import bpe, decontaminate, html_extract, line_dedup, minhash, pii, quality, suffix_dedup, token_output, toxicity
 from runlattice.llm import components as graph
+from runlattice.llm.common import dropped, stored
 from runlattice.llm.queries import tokenizer_path
 
 WORDS = ["alpha", "beta", "Gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "Über", "naïve", "x1"]
@@ -143,6 +144,20 @@ def test_components_on_driver_and_in_rounds(spark, monkeypatch):
         assert {x["node"]: x["root"] for x in graph.components(edges).collect()} == want
 
 
+def shuffle_bytes(spark):
+    import pathlib
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(p.stat().st_size for d in manager.localDirsString() for p in pathlib.Path(d).rglob("shuffle_*.data"))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = shuffle_bytes(spark)
+    table = stored(spark.range(100_000).withColumn("x", F.sha2(F.col("id").cast("string"), 256)).repartition(5, "x"), "t")
+    assert table.count() == 100_000 and shuffle_bytes(spark) - before < 1_000_000
+    dropped(table)
+
+
 # -- pseudonyms
 
 
