@@ -9,7 +9,8 @@ Groups of any size are handled without forming all their pairs. Equal sets are o
 most central; members that are linked are one component, and groups within one component are settled. In the others only pairs across components matter. Where few members lie outside the
 largest component, these are compared with the rest. Otherwise sets are split into what they share with the pivot and what they don't (own shingles): two
 members have at most the lesser of their overlaps with the pivot in common besides own shingles, so a link needs a number of common own ones, and
-one of these is among the rarest own shingles of both. Members with such a shingle in common form new groups, small ones compared by pairs, large ones with a pivot of their own.
+one of these is among the rarest own shingles of both. Members with such a shingle in common form new groups, small ones compared by pairs. Large ones are split in turn by
+what their members differ in from the set of shingles that most of them have; no such difference is in more than half of them, so the rounds grow as the logarithm of the largest group.
 Every step is linear in the members, joins with texts are sorted merges at every size, and every round's tables are written to the shared folder and dropped when used.
 """
 
@@ -172,6 +173,21 @@ def own_shingles(k: int) -> object:
     return udf
 
 
+def differences(k: int) -> object:
+    """UDF of (a, za, b, zb): the shingles that only one of a and b has."""
+
+    @F.arrow_udf("array<bigint>")
+    def udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held: dict[int, np.ndarray] = {}
+        for a, za, b, zb in batches:
+            out = []
+            for x, y in zip(_sets(za, a.to_pylist(), k, held), _sets(zb, b.to_pylist(), k, held)):
+                out.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return udf
+
+
 def similar(common: Column, na: Column, nb: Column) -> Column:
     """Whether common of na and nb shingles is a similarity of 4 in 5 or more."""
     return common * (NUMERATOR + DENOMINATOR) >= (na + nb) * NUMERATOR
@@ -263,6 +279,51 @@ def pairs_with_rare(members: DataFrame) -> DataFrame:
     return ordered_pairs(x.join(y, ["b", "s"]).filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
+def by_majority(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Of each member (g, a, b, root, na) of a group with a pivot b a stored row: also d, in what it differs from the shingles that most of its group have, and over.
+
+    Sets with the differences x and y differ in |x| + |y| - 2 |x and y| shingles, and a link allows a ninth of their sizes. over is 9 |d| - na: two members need
+    a common difference for each 18 of the sum of theirs, and are linked in any case if it isn't above 0.
+    """
+    each = with_texts(members.select("a", "b").distinct(), texts).select("a", "b", differences(k)("a", "za", "b", "zb").alias("d"))
+    rows = stored(members.join(each.hint("merge"), ["a", "b"]).select("g", "a", "root", "na", "d"), "own")
+    times = rows.select("g", F.explode("d").alias("s")).groupBy("g", "s").agg(F.count("*").alias("times"))
+    usual = times.join(rows.groupBy("g").agg(F.count("*").alias("m")), "g").filter("2 * times > m").groupBy("g").agg(F.collect_list("s").alias("usual"))
+    d = F.when(F.col("usual").isNull(), F.col("d")).otherwise(F.concat(F.array_except("d", "usual"), F.array_except("usual", "d")))
+    over = F.size("d") * (NUMERATOR + DENOMINATOR) - F.col("na") * (DENOMINATOR - NUMERATOR)
+    out = stored(rows.join(usual, "g", "left").withColumn("d", d).select("g", "a", "root", "na", "d", over.alias("over")), "own")
+    dropped(rows)
+    return out
+
+
+def nearest_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of the members (g, a, root, over) with the one of least over of their group, where that makes a link; others that need no common difference are linked by way of it."""
+    least = members.groupBy("g").agg(F.min(F.struct("over", "a", "root")).alias("least"))
+    near = members.join(least, "g").filter(F.col("over") + F.col("least.over") <= 0).filter(F.col("root") != F.col("least.root"))
+    return ordered_pairs(near.select("a", F.col("least.a").alias("b")))
+
+
+def rarest_differences(members: DataFrame) -> DataFrame:
+    """Of the members (g, a, root, na, d, over) the differences s, rarest in the group first, that a link can't do without: g, s, a, root, na, over, own (their number in all)."""
+    need = F.greatest(F.lit(1), F.ceil((F.col("over") + F.col("least")) / (2 * (NUMERATOR + DENOMINATOR))))
+    of = members.join(members.groupBy("g").agg(F.min("over").alias("least")), "g").withColumn("need", need)
+    token = of.select("g", F.explode("d").alias("s"), "a", "root", "na", "over", F.size("d").alias("own"), "need")
+    shared = token.join(token.groupBy("g", "s").agg(F.count("*").alias("times")).filter("times > 1"), ["g", "s"])
+    member = Window.partitionBy("g", "a")
+    ranked = shared.withColumn("rank", F.row_number().over(member.orderBy("times", "s"))).withColumn("shared", F.count("*").over(member))
+    return ranked.filter("rank <= shared - need + 1").select("g", "s", "a", "root", "na", "over", "own")
+
+
+def pairs_with_difference(members: DataFrame) -> DataFrame:
+    """Pairs across components within groups (g, s), of which one is minor, whose numbers of differences allow a link."""
+    side = lambda x: members.select("g", "s", F.col("a").alias(x), "minor", *(F.col(c).alias(c + x) for c in ("root", "na", "over", "own")))
+    x, y = side("x").filter("minor").drop("minor"), side("y").withColumnRenamed("minor", "both")
+    once = ~F.col("both") | (F.col("x") < F.col("y"))
+    fits = once & (F.col("rootx") != F.col("rooty")) & similar(F.least("nax", "nay"), F.col("nax"), F.col("nay"))
+    fits &= F.least("ownx", "owny") * 2 * (NUMERATOR + DENOMINATOR) >= F.col("overx") + F.col("overy")
+    return ordered_pairs(x.join(y, ["g", "s"]).filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def linked(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return stored(verified(edges, texts, k).filter(similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
 
@@ -292,7 +353,8 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
     dropped(alike)
     groups = shared(finely_grouped(texts, k))
     while not groups.isEmpty():
-        if roots is not None:  # settled by now?
+        first = roots is None
+        if not first:  # settled by now?
             labelled = with_roots(groups, roots)
             per = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("g", "m")
             members = stored(labelled.join(per, "g").select("g", "doc", "n", "m"), "members")
@@ -313,17 +375,26 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
         dropped(around)
         pairs = pairs_with_few(few)
         over = [star, few]
-        family = stored(many.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"), "root").distinct().join(star, ["a", "b"]), "family")
+        rest = many.filter("doc <> pivot").select("g", F.col("doc").alias("a"), F.col("pivot").alias("b"), "root", F.col("n").alias("na"))
+        if first:
+            family = stored(rest.select("a", "b", "root").distinct().join(star, ["a", "b"]), "family")
+        else:
+            family = by_majority(rest, texts, k)
         over.append(family)
         if family.isEmpty():
             groups = family
-        else:
+        elif first:
             rare, own = rarest(family, texts, k)
             few, many = apart(rare, ["b", "s"], SMALL)
             dropped(own)
             over.append(few)
             pairs = pairs.union(pairs_with_room(family)).union(pairs_with_rare(few))
             groups = stored(many.select(F.xxhash64("b", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
+        else:
+            few, many = apart(rarest_differences(family), ["g", "s"], SMALL)
+            over.append(few)
+            pairs = pairs.union(nearest_pairs(family)).union(pairs_with_difference(few))
+            groups = stored(many.select(F.xxhash64("g", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
         edges = stored(pairs.distinct(), "pairs")
         links = linked(edges, texts, k)
         for t in [*over, edges]:

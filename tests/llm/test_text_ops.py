@@ -130,6 +130,32 @@ def test_documents_with_a_passage_in_common_seldom_meet(spark, monkeypatch):
     assert sum(compared) < len(rows)
 
 
+def test_rounds_grow_as_the_logarithm_of_a_group(spark, monkeypatch):
+    """Copies of one text with three of eight edits in two wordings, most of them not linked: differences from most copies halve the groups, whatever the pivot."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    rounds = []
+    real = minhash.verified
+
+    def counted(*a):
+        rounds.append(1)
+        assert len(rounds) <= 2 * (2 + 5)  # two comparisons a round; after the first one, 90 halved until 3 are left
+        return real(*a)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(73)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for at in r.sample(range(4, 72, 8), 3):
+            w[at] = f"q{at}-{r.randrange(2)}"
+        rows.append((i, " ".join(w)))
+    want = components({i: shingles(t, 4) for i, t in rows})
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and len(set(want.values())) > 5
+
+
 def test_components_on_driver_and_in_rounds(spark, monkeypatch):
     r = random.Random(6)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7)]
