@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ FEW = 8
 SMALL = 64
 #: Edges of one document that a task of a comparison gets; more are dealt over several tasks.
 EDGES = 64
+#: Longs of parities that a document has. Of sets that differ in 20 shingles 5 in 6 differ in as many bits.
+PARITIES = 16
 #: Classes of set sizes: two sets of a similarity of 0.8 lie in the same class or in neighbouring ones.
 CLASS = 1.25
 SEED = 20
@@ -102,22 +105,36 @@ def signed(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(each, "doc bigint, n bigint, class_key binary, bands array<bigint>, z binary")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 PARITIES bits, whether an odd number of the shingles fall on it. Two sets differ in at least as many shingles as their parities do in bits."""
+    at = (mix64(hashes ^ _ODD[3]) >> np.uint64(32)) % np.uint64(64 * PARITIES)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def finely_grouped(texts: DataFrame, k: int) -> DataFrame:
-    """Groups (g, doc, n) by longer bands of the documents (doc, z), of which only few that are less alike than a link demands meet."""
+    """Of the documents (doc, z) a stored table of doc, n, parities and longer bands, in which only few that are less alike than a link demands meet."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _FINE:
             _FINE.append(Circulant(FINE_ROWS, FINE_BANDS, SEED + 1))
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            n, bands = [], []
+            n, bands, odd = [], [], []
             for z in batch.column(1):
                 s = shingle_set(unpack(z.as_py()), k)
                 n.append(len(s))
                 bands.append(_FINE[0].band_keys(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "n", "bands"])
+                odd.append(parities(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc", "n", "bands", "odd"])
+
+    return stored(texts.select("doc", "z").mapInArrow(each, "doc bigint, n bigint, bands array<bigint>, odd array<bigint>"), "fine")
+
 
-    return texts.select("doc", "z").mapInArrow(each, "doc bigint, n bigint, bands array<bigint>").select(F.explode("bands").alias("g"), "doc", "n")
+def near(one: str, two: str, sizes: Column) -> Column:
+    """Whether the parities of two sets allow a link: their differing bits are no more than the shingles that a link lets differ."""
+    bits = reduce(Column.__add__, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(PARITIES)))
+    return bits * (NUMERATOR + DENOMINATOR) <= sizes * (DENOMINATOR - NUMERATOR)
 
 
 def shared(groups: DataFrame) -> DataFrame:
@@ -230,10 +247,10 @@ def apart(members: DataFrame, key: list[str], most: int) -> tuple[DataFrame, Dat
 
 
 def pairs_with_few(members: DataFrame) -> DataFrame:
-    """Pairs across components within groups (g, doc, n, root, minor), of which one is minor, whose sizes allow a link."""
-    left = members.filter("minor").select("g", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = members.select("g", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("ra") != F.col("rb")) & similar(F.least("na", "nb"), F.col("na"), F.col("nb"))
+    """Pairs across components within groups (g, doc, n, odd, root, minor), of which one is minor, whose sizes and parities allow a link."""
+    left = members.filter("minor").select("g", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("odd").alias("odda"))
+    right = members.select("g", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("odd").alias("oddb"))
+    fits = (F.col("ra") != F.col("rb")) & similar(F.least("na", "nb"), F.col("na"), F.col("nb")) & near("odda", "oddb", F.col("na") + F.col("nb"))
     return ordered_pairs(left.join(right, "g").filter(fits))
 
 
@@ -270,12 +287,12 @@ def pairs_with_room(family: DataFrame) -> DataFrame:
 
 
 def pairs_with_rare(members: DataFrame) -> DataFrame:
-    """Pairs across components within groups (b, s), of which one is minor, whose overlaps with the pivot and own shingles together allow a link."""
-    side = lambda x: members.select("b", "s", F.col("a").alias(x), "minor", *(F.col(c).alias(c + x) for c in ("root", "na", "common")))
+    """Pairs across components within groups (b, s), of which one is minor, whose parities, and overlaps with the pivot and own shingles together, allow a link."""
+    side = lambda x: members.select("b", "s", F.col("a").alias(x), "minor", *(F.col(c).alias(c + x) for c in ("root", "na", "common", "odd")))
     x, y = side("x").filter("minor").drop("minor"), side("y").withColumnRenamed("minor", "both")
     most = F.least("commonx", "commony") + F.least(F.col("nax") - F.col("commonx"), F.col("nay") - F.col("commony"))
     once = ~F.col("both") | (F.col("x") < F.col("y"))
-    fits = once & (F.col("rootx") != F.col("rooty")) & similar(most, F.col("nax"), F.col("nay"))
+    fits = once & (F.col("rootx") != F.col("rooty")) & similar(most, F.col("nax"), F.col("nay")) & near("oddx", "oddy", F.col("nax") + F.col("nay"))
     return ordered_pairs(x.join(y, ["b", "s"]).filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -315,12 +332,13 @@ def rarest_differences(members: DataFrame) -> DataFrame:
 
 
 def pairs_with_difference(members: DataFrame) -> DataFrame:
-    """Pairs across components within groups (g, s), of which one is minor, whose numbers of differences allow a link."""
-    side = lambda x: members.select("g", "s", F.col("a").alias(x), "minor", *(F.col(c).alias(c + x) for c in ("root", "na", "over", "own")))
+    """Pairs across components within groups (g, s), of which one is minor, whose parities and numbers of differences allow a link."""
+    side = lambda x: members.select("g", "s", F.col("a").alias(x), "minor", *(F.col(c).alias(c + x) for c in ("root", "na", "over", "own", "odd")))
     x, y = side("x").filter("minor").drop("minor"), side("y").withColumnRenamed("minor", "both")
     once = ~F.col("both") | (F.col("x") < F.col("y"))
     fits = once & (F.col("rootx") != F.col("rooty")) & similar(F.least("nax", "nay"), F.col("nax"), F.col("nay"))
     fits &= F.least("ownx", "owny") * 2 * (NUMERATOR + DENOMINATOR) >= F.col("overx") + F.col("overy")
+    fits &= near("oddx", "oddy", F.col("nax") + F.col("nay"))
     return ordered_pairs(x.join(y, ["g", "s"]).filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -351,7 +369,10 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
     alike = stored(groups.join(groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1").hint("merge"), "g").select("doc").distinct(), "alike")
     texts = stored(all_texts.join(alike.hint("merge"), "doc", "left_semi"), "texts")
     dropped(alike)
-    groups = shared(finely_grouped(texts, k))
+    fine = finely_grouped(texts, k)
+    groups = shared(fine.select(F.explode("bands").alias("g"), "doc", "n"))
+    odd = fine.select("doc", "odd").hint("merge")
+    odd_of_a = fine.select(F.col("doc").alias("a"), "odd").hint("merge")
     while not groups.isEmpty():
         first = roots is None
         if not first:  # settled by now?
@@ -373,7 +394,7 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
 
         few, many = apart(with_roots(around, roots), ["g"], FEW)
         dropped(around)
-        pairs = pairs_with_few(few)
+        pairs = pairs_with_few(few.join(odd, "doc"))
         over = [star, few]
         rest = many.filter("doc <> pivot").select("g", F.col("doc").alias("a"), F.col("pivot").alias("b"), "root", F.col("n").alias("na"))
         if first:
@@ -388,12 +409,12 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
             few, many = apart(rare, ["b", "s"], SMALL)
             dropped(own)
             over.append(few)
-            pairs = pairs.union(pairs_with_room(family)).union(pairs_with_rare(few))
+            pairs = pairs.union(pairs_with_room(family)).union(pairs_with_rare(few.join(odd_of_a, "a")))
             groups = stored(many.select(F.xxhash64("b", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
         else:
             few, many = apart(rarest_differences(family), ["g", "s"], SMALL)
             over.append(few)
-            pairs = pairs.union(nearest_pairs(family)).union(pairs_with_difference(few))
+            pairs = pairs.union(nearest_pairs(family)).union(pairs_with_difference(few.join(odd_of_a, "a")))
             groups = stored(many.select(F.xxhash64("g", "s").alias("g"), F.col("a").alias("doc"), F.col("na").alias("n")), "groups")
         edges = stored(pairs.distinct(), "pairs")
         links = linked(edges, texts, k)
@@ -402,6 +423,7 @@ def clustered(groups: DataFrame, all_texts: DataFrame, k: int) -> DataFrame | No
                 dropped(t)
         roots = joined_components(links, roots)
     dropped(texts)
+    dropped(fine)
     dropped(groups)
     return roots
 

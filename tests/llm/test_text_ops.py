@@ -156,6 +156,18 @@ def test_rounds_grow_as_the_logarithm_of_a_group(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 5
 
 
+def test_parities_never_differ_more_than_sets():
+    r = np.random.default_rng(8)
+    apart = []
+    for n, changed in [(1, 1), (83, 10), (83, 30), (5000, 900)]:
+        x = np.sort(r.integers(0, 2**63, n).astype(np.uint64))
+        y = np.sort(np.concatenate([x[changed:], r.integers(0, 2**63, changed).astype(np.uint64)]))
+        bits = sum(int(a ^ b).bit_count() for a, b in zip(minhash.parities(x).view(np.uint64).tolist(), minhash.parities(y).view(np.uint64).tolist()))
+        assert bits <= len(np.setxor1d(x, y))
+        apart.append(bits)
+    assert minhash.PARITIES == len(minhash.parities(np.empty(0, np.uint64))) and apart[2] > 50
+
+
 def test_components_on_driver_and_in_rounds(spark, monkeypatch):
     r = random.Random(6)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7)]
