@@ -263,8 +263,7 @@ def rarest(family: DataFrame, texts: DataFrame, k: int) -> tuple[DataFrame, Data
     own = with_texts(family.select("a", "b", "root", "na", "common"), texts).select("a", "b", "root", "na", "common", own_shingles(k)("a", "za", "b", "zb").alias("own"))
     own = stored(own.repartition("a", "b"), "own")
     token = own.select("b", F.explode("own").alias("s"), "a", "root", "na", "common")
-    times = token.groupBy("b", "s").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = token.join(times, ["b", "s"])
+    shared = token.withColumn("times", F.count("*").over(Window.partitionBy("b", "s"))).filter("times > 1")
     member = Window.partitionBy("b", "a")
     partner = F.ceil(F.col("na") * NUMERATOR / DENOMINATOR)
     need = F.greatest(F.lit(1), F.ceil((F.col("na") + partner) * NUMERATOR / (NUMERATOR + DENOMINATOR)) - F.col("common"))
@@ -325,7 +324,7 @@ def rarest_differences(members: DataFrame) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil((F.col("over") + F.col("least")) / (2 * (NUMERATOR + DENOMINATOR))))
     of = members.join(members.groupBy("g").agg(F.min("over").alias("least")), "g").withColumn("need", need)
     token = of.select("g", F.explode("d").alias("s"), "a", "root", "na", "over", F.size("d").alias("own"), "need")
-    shared = token.join(token.groupBy("g", "s").agg(F.count("*").alias("times")).filter("times > 1"), ["g", "s"])
+    shared = token.withColumn("times", F.count("*").over(Window.partitionBy("g", "s"))).filter("times > 1")
     member = Window.partitionBy("g", "a")
     ranked = shared.withColumn("rank", F.row_number().over(member.orderBy("times", "s"))).withColumn("shared", F.count("*").over(member))
     return ranked.filter("rank <= shared - need + 1").select("g", "s", "a", "root", "na", "over", "own")
