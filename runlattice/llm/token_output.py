@@ -10,9 +10,8 @@ import json
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,30 +23,105 @@ from runlattice.llm.common import ensure_workers_import, shared_dir, stored
 
 #: Options of Spark's ORC writer.
 ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
-#: Most distinct words a worker remembers; beyond it the memory is emptied.
-MEMO = 800_000
+#: Distinct words beyond which a worker forgets some before the next part; those that most parts held stay, half of them at most.
+MEMO = 400_000
+#: Most bytes of a word that stays then.
+LONG = 64
+#: Bytes of words and ids beyond which it does so too.
+MEMO_BYTES = 64 << 20
+#: Text bytes that a worker encodes at once.
+PART_BYTES = 16 << 20
 END_ID = 1
 
 
 #: Letters that every version of Unicode's tables knows as such and that compose with nothing before them.
-LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+LETTERS = f"^{LETTER}$"
 #: Marks that are one piece after a word; none of them starts another pattern or an added token.
-MARKS = ".,;:!?%&*#"
+MARKS = ".,;:!?%&*#$"
 #: Words that are given to the library as one text.
 TOGETHER = 256
+#: Vocabularies with this normalizer and this pattern, then bytes, can be given words instead of texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def gather(ids: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of rows, one after the other, and where each row's ids end; row r of a table holds ids[edges[r] : edges[r + 1]]."""
+    starts = edges[rows]
+    sizes = edges[rows + 1] - starts
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at], ends
+
+
+def of_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), dtype="<i4"), np.cumsum(np.fromiter(map(len, lists), dtype=np.int64))
+
+
+class Memo:
+    """Words and their ids; row r of the table is words[r], and used[r] the number of parts that held it."""
+
+    def __init__(self) -> None:
+        self.empty()
+
+    def empty(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.ids, self.edges, self.used = np.empty(0, "<i4"), np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def add(self, words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Words are those held and, behind them, new ones, whose ids end at ends."""
+        self.words = words
+        self.edges = np.concatenate([self.edges, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, ids])
+        self.used = np.concatenate([self.used, np.zeros(len(ends), np.int32)])
+
+    def shrink(self) -> None:
+        """Forgets long words and those that the fewest parts held."""
+        n, half = len(self.words), MEMO // 2
+        least = np.partition(self.used, n - half - 1)[n - half - 1] if n > half else 0
+        kept = np.flatnonzero((self.used > least) & (np.asarray(pc.binary_length(self.words)) <= LONG))
+        words, used, (ids, ends) = self.words.take(pa.array(kept)), self.used[kept] // 2, gather(self.ids, self.edges, kept)
+        self.empty()
+        if words.nbytes + ids.nbytes <= MEMO_BYTES // 2:
+            self.add(words, ids, ends)
+            self.used = used
+
+    def rows(self, words: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The row of each word; learn gives the ids of distinct new ones. Rows hold until the next call."""
+        if len(self.words) > MEMO or self.words.nbytes + self.ids.nbytes > MEMO_BYTES:
+            self.shrink()
+        n = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()
+        rows = np.asarray(coded.indices)
+        if not np.array_equal(rows[:n], np.arange(n)):
+            raise ValueError("distinct words must be numbered in their order")
+        rows = rows[n:]
+        if len(coded.dictionary) > n:
+            self.add(coded.dictionary, *learn(coded.dictionary.slice(n)))
+        held = np.zeros(len(self.used), dtype=bool)
+        held[rows] = True
+        self.used += held
+        return rows
+
+    def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gather(self.ids, self.edges, rows)
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, which sees only words that weren't seen before.
+    """Encodes texts with the tokenizers library, which sees only words that aren't remembered.
 
     A text is cut at blanks and line feeds, which the vocabulary's normalizer and pattern drop: no token, no composition and no added token
-    reaches across them, so the ids of the pieces in a row are the ids of the text. Where the vocabulary marks the last token of a word, words of
-    plain letters go to the library many to a text, without the marks behind them (a piece of their own) and in lower case, which the normalizer makes anyway; other words go alone.
+    reaches across them, so the ids of the pieces in a row are the ids of the text. Arrow cuts the texts and finds the distinct words. Words of
+    plain letters go to the library many to a text, without the marks behind them (a piece of their own), in lower case and past the normalizer
+    and the pattern, which would leave them as they are; other words go alone. Vocabularies with another normalizer or pattern get whole texts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -55,69 +129,72 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
-        lower = "Lowercase" in json.dumps(spec.get("normalizer"))
-        self.last: np.ndarray | None = None
-        if suffix and lower:
+        self.cuts = bool(suffix) and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [PIECES, BYTES]}
+        self.cuts = self.cuts and all(t["content"].startswith("<") and not {" ", "\n"} & set(t["content"]) for t in spec["added_tokens"])
+        if self.cuts:
             vocab = self.lib.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
             self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self.memo: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def alone(self, words: list[str]) -> None:
-        for word, got in zip(words, self.lib.encode_batch_fast(words, add_special_tokens=False)):
-            self.memo[word] = np.array(got.ids, dtype="<u4").tobytes()
-
-    def together(self, stems: list[str]) -> None:
-        texts = [" ".join(stems[i : i + TOGETHER]) for i in range(0, len(stems), TOGETHER)]
-        ids = np.array(list(chain.from_iterable(got.ids for got in self.lib.encode_batch_fast(texts, add_special_tokens=False))), dtype="<u4")
-        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            self.letters = Tokenizer(self.lib.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.words, self.stems = Memo(), Memo()
+
+    def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return of_lists([x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def together(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters in lower case."""
+        cuts = np.append(np.arange(0, len(stems), TOGETHER, dtype=np.int32), np.int32(len(stems)))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), stems), " ").to_pylist()
+        ids, _ = of_lists([x.ids for x in self.letters.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(stems):
             raise ValueError("a word of letters must end in one last token")
-        raw = ids.tobytes()
-        self.stems.update(zip(stems, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-
-    def learn(self, new: set[str]) -> None:
-        """Ids of unseen words; classes of words are worked out by Arrow for all of them at once."""
-        if self.last is None:
-            return self.alone(list(new))
-        words = pa.array(list(new), pa.string())
+        return ids, ends
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of unseen words: each is two rows of a table, its letters and its marks or, as another word, itself and nothing."""
         stem = pc.utf8_rtrim(words, MARKS)
         plain = pc.match_substring_regex(stem, LETTERS)
-        self.alone(words.filter(pc.invert(plain)).to_pylist())
-        words, stem = words.filter(plain), stem.filter(plain)
-        if not len(words):
-            return
-        coded = pc.ascii_lower(stem).dictionary_encode()
-        stems, memo = self.stems, self.memo
-        some = coded.dictionary.to_pylist()
-        self.together([x for x in some if x not in stems])
-        ids = list(map(stems.__getitem__, some))
-        of_stem = np.asarray(coded.indices)
-        bare = np.asarray(pc.equal(pc.binary_length(stem), pc.binary_length(words)))
-        words = words.to_numpy(zero_copy_only=False)
-        memo.update(zip(words[bare].tolist(), map(ids.__getitem__, of_stem[bare].tolist())))
-        marked = words[~bare].tolist()
-        marks = [w[len(w.rstrip(MARKS)) :] for w in marked]
-        self.alone(list(set(marks) - memo.keys()))
-        memo.update(zip(marked, map(add, map(ids.__getitem__, of_stem[~bare].tolist()), map(memo.__getitem__, marks))))
-
-    def packed(self, texts: list[str], end: bytes = b"") -> list[bytes]:
-        """Ids of each text, then end, as little-endian 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.stems.clear()
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.memo.get
-        got = [list(map(known, p)) for p in pieces]
-        unknown = [[i for i, x in enumerate(g) if x is None] for g in got]
-        new = {p[i] for p, places in zip(pieces, unknown) for i in places}
-        if new:
-            self.learn(new)
-            for p, g, places in zip(pieces, got, unknown):
-                for i in places:
-                    g[i] = known(p[i])
-        return [b"".join(g) + end for g in got]
+        of = np.asarray(plain)
+        stems = self.stems.rows(pc.utf8_lower(stem.filter(plain)), self.together)
+        marks = pc.replace_substring_regex(words.filter(plain), f"^{LETTER}", "").dictionary_encode()
+        rest = [*marks.dictionary.to_pylist(), "", *words.filter(pc.invert(plain)).to_pylist()]
+        ids, ends = self.alone(rest)
+        none = len(self.stems.words) + len(marks.dictionary)
+        pairs = np.empty((len(words), 2), dtype=np.int64)
+        pairs[of, 0], pairs[of, 1] = stems, len(self.stems.words) + np.asarray(marks.indices)
+        pairs[~of, 0], pairs[~of, 1] = np.arange(none + 1, none + 1 + len(words) - len(stems)), none
+        ids, ends = gather(np.concatenate([self.stems.ids, ids]), np.concatenate([self.stems.edges, len(self.stems.ids) + ends]), pairs.ravel())
+        return ids, ends[1::2]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids end; null is an empty text."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not self.cuts:
+            return self.alone(texts.to_pylist())
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ids, ends = self.words.ids_of(self.words.rows(pieces.flatten(), self.learn))
+        offsets = np.asarray(pieces.offsets)
+        return ids, np.concatenate([[0], ends])[offsets[1:] - offsets[0]]
+
+
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of PART_BYTES of text or little more; a longer text is a part of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = np.asarray(pc.binary_length(batch.column(1)).fill_null(0))
+        at = 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > PART_BYTES:
+                yield pa.concat_batches([*held, batch.slice(at, i - at)])
+                held, size, at = [], 0, i
+            size += n
+        if batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -138,14 +215,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     ensure_workers_import(docs.sparkSession)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                packed = enc.packed([t or "" for t in part.column(1).to_pylist()], end)
-                ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+        enc = encoder(tokenizer)
+        for part in parts(batches):
+            ids, ends = enc.encode(part.column(1))
+            ids = np.insert(ids, ends, end_id)
+            ends = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
+            rows = pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"])
+            for at in range(0, len(rows), 500):
+                yield rows.slice(at, 500)
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")

@@ -315,6 +315,79 @@ def test_token_files_prune_by_id(spark, docs, tmp_path):
     assert token_output.read_tokens(spark, str(tmp_path / "t")).filter("doc_id = 53").count() == 1
 
 
+def odd_words(r, n):
+    letters = "abcdefgXYZÀÖØÞßàöøÿ"
+    other = ["'s", "don't", "x1", "12", "a\tb", "\x1c", "é", "e\u0301", "İ", "Ÿ", "ſ", "ª", "日本語", "😀", "<|endoftext|>", "a<|startoftext|>b", "<|", "|>", "a--b", "(c)", "\u00a0", "\u0338", "=\u0338", "", "\x00"]
+    return [r.choice(other) if r.random() < 0.2 else "".join(r.choices(letters, k=r.choice([1, 2, 3, 9]))) + r.choice(["", "", ".", "...", "$$$", "?!", "%*#&", ",\u0301"]) for _ in range(n)]
+
+
+def test_word_encoder_against_whole_texts(monkeypatch):
+    """Ids of odd words are those of the library for the whole text, also while words are forgotten."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_output, "MEMO", 300)
+    monkeypatch.setattr(token_output, "LONG", 8)
+    r = random.Random(3)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = token_output.WordEncoder(tokenizer_path(name))
+        for n in (0, 1, 5, 60, 60, 60, 60):
+            some = [None, "", " ", "\n", *(r.choice([" ", "\n", "  "]).join(odd_words(r, r.randrange(20))) for _ in range(n)), "y" * 3000][-n - 2 :]
+            ids, ends = enc.encode(pa.array(some, pa.string()).slice(1))
+            want = [enc.lib.encode(t or "", add_special_tokens=False).ids for t in some[1:]]
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
+def test_word_encoder_keeps_frequent_words(monkeypatch):
+    """The library sees a frequent word once, although there are more words than are remembered."""
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, lib):
+            self.lib = lib
+
+        def encode_batch_fast(self, given, **options):
+            for t in given:
+                seen.update(t.split(" "))
+            return self.lib.encode_batch_fast(given, **options)
+
+    monkeypatch.setattr(token_output, "MEMO", 200)
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=9))
+    frequent, seen = [word() for _ in range(50)], collections.Counter()
+    enc = token_output.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    for name, lib in list(vars(enc).items()):
+        if hasattr(lib, "encode_batch_fast"):
+            setattr(enc, name, Counted(lib))
+    for _ in range(30):
+        enc.encode(pa.array([" ".join(frequent), " ".join(word() + "." for _ in range(60))]))
+    assert all(seen[w] == 1 for w in frequent)
+    assert len(seen) > 1500
+
+
+def test_token_files_of_another_vocabulary(spark, docs, tmp_path):
+    """A vocabulary whose tokens hold blanks gets whole texts."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    token_output.write_tokens(docs, str(tmp_path / "b"), path)
+    lib = Tokenizer.from_file(path)
+    got = {x["doc_id"]: x["ids"] for x in token_output.read_tokens(spark, str(tmp_path / "b")).collect()}
+    assert got == {d: [*lib.encode(t, add_special_tokens=False).ids, 1] for d, t in texts().items()}
+
+
+def test_parts_of_batches(monkeypatch):
+    """Rows stay in order and whole; a part has PART_BYTES of text or a single row."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_output, "PART_BYTES", 10)
+    some = ["a" * 4, None, "b" * 6, "", "c" * 30, "d", "e" * 9, "", "f" * 11, "g"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x, pa.string())], ["doc_id", "text"]) for x in (some[:2], [], some[2:9], some[9:])]
+    got = [p.column(1).to_pylist() for p in token_output.parts(batches)]
+    assert sum(got, []) == some
+    assert all(sum(len(t or "") for t in p) <= 10 or sum(bool(t) for t in p) == 1 for p in got)
+    assert list(token_output.parts(batches[1:2])) == []
+
+
 def test_bpe(docs, nothing):
     from tokenizers import Tokenizer
 
