@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runlattice.functions import kernels as k
 from runlattice.functions import masks
 from runlattice.operators import overlap, sweep
+from runlattice.plans import catalog
 from runlattice.sources import coco, png
 from runlattice.streaming import running
 
@@ -214,3 +215,28 @@ def test_polygons_against_traced_outlines():
                     row = min(max(-((2 - min(v, v2)) // 5), 0), 20)
                     bits[row:, min(u, u2) // 5] ^= True
         assert k.from_polygon(xy.tolist(), 20, 22).counts.tolist() == k.from_dense(bits).counts.tolist()
+
+
+def line_items(spark, path, shift):
+    """A table of 60 line items in 6 orders from shift on, as the box queries read it."""
+    r = np.random.default_rng(8)
+    data = [(shift + i // 10, int(r.integers(0, 20)), int(r.integers(0, 20)), i % 7 + 1, float(r.integers(1, 51))) for i in range(60)]
+    spark.createDataFrame(data, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name, ids", [("from_bbox", ["id"]), ("iou_pairs", ["a", "b"]), ("iou_crowd", ["a", "b"]), ("nms", ["id"]), ("occlusion_visible", ["id"])])
+def test_box_queries_with_ids_beyond_64_bits(spark, tmp_path, name, ids):
+    """The ids of an order far on are greater by a constant, and nothing else changes."""
+    shift = 9_000_000
+    near, far = (catalog.QUERIES[name](spark, line_items(spark, tmp_path / str(s), s)) for s in (0, shift))
+    assert dict(near.dtypes)[ids[0]] == "bigint" and dict(far.dtypes)[ids[0]] == "decimal(38,0)"
+
+    def moved(row, by):
+        row = row.asDict()
+        more = {c: int(row[c]) + by * 10 * 1000000 * 10000 * 51 for c in ids} | ({"image": row["image"] + by // 10} if "image" in row else {})
+        return sorted((row | more).items())
+
+    expected = sorted(moved(r, shift) for r in near.collect())
+    assert expected and expected == sorted(moved(r, 0) for r in far.collect())
+    assert max(v for r in expected for c, v in r if c in ids) >= 1 << 63
