@@ -240,3 +240,32 @@ def test_box_queries_with_ids_beyond_64_bits(spark, tmp_path, name, ids):
     expected = sorted(moved(r, shift) for r in near.collect())
     assert expected and expected == sorted(moved(r, 0) for r in far.collect())
     assert max(v for r in expected for c, v in r if c in ids) >= 1 << 63
+
+
+def test_rectangles_circles_and_polygons_of_whole_batches(spark):
+    """Drawn together they are what the kernels draw one by one; nulls stay null, but a null edge of a rectangle lies at zero."""
+    r = np.random.default_rng(9)
+    data = [(i, *(float(v) for v in r.uniform(-5, 25, 4).round(1)), [float(v) for v in r.uniform(-9, 30, 2 * int(r.integers(0, 7)))]) for i in range(300)]
+    data += [(300, 0.0, 0.0, 22.0, 20.0, [1e5, 1.0, 3.0, 2.0, 5.0, 7.0]), (301, 3.0, 0.0, 4.0, 20.0, []), (302, None, 1.0, 4.0, 20.0, None)]
+    df = spark.createDataFrame(data, "id int, a double, b double, c double, d double, xy array<double>").repartition(3)
+    got = df.select("*", masks.from_bbox("a", "b", "c", "d", (20, 22)).alias("box"), masks.from_circle("a", "b", "c", (20, 22)).alias("circle"), masks.from_polygon("xy", (20, 22)).alias("polygon"), masks.from_circle("a", "b", "c", (0, 5)).alias("none")).collect()
+    assert len(got) == len(data)
+    for row in got:
+        edge = lambda v, most: int(np.floor(min(max(v, 0.0), most) + 0.5))
+        a, b = row["a"] or 0.0, row["b"]
+        x0, x1, y0, y1 = edge(a, 22), edge(a + row["c"] if row["a"] is not None else 0.0, 22), edge(b, 20), edge(b + row["d"], 20)
+        assert row["box"]["counts"] == k.from_bbox((x0, y0, x1 - x0, y1 - y0), 20, 22).counts.tolist()
+        if row["a"] is None:
+            assert row["circle"] is None and row["polygon"] is None
+            continue
+        assert row["circle"]["counts"] == k.from_circle(a, b, row["c"], 20, 22).counts.tolist()
+        assert row["none"]["counts"] == []
+        assert row["polygon"]["counts"] == k.from_polygon(row["xy"], 20, 22).counts.tolist()
+
+
+def test_batches_of_polygons():
+    r = np.random.default_rng(10)
+    each = [r.uniform(-5, 40, 2 * int(n)) for n in r.integers(0, 9, 400)]
+    owner, start, end = k.polygons(np.concatenate(each), np.cumsum([0, *map(len, each)]), 16, 20)
+    for i, xy in enumerate(each):
+        assert k.from_intervals(16, 20, start[owner == i], end[owner == i]).counts.tolist() == k.from_polygon(xy, 16, 20).counts.tolist()
