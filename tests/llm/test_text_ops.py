@@ -674,3 +674,17 @@ def test_covered_words_keep_their_errors():
     trie = toxicity.Trie(terms)
     assert set(terms) == {"reeuxa*", "reeuxan", "reeuxal"} and trie.nearest("reuxan") == (terms.index("reeuxan"), 1)
     assert trie.nearest_of_each(["reuxan", "reeuxabc"]) == [trie.nearest("reuxan"), (0, 0)]
+
+
+def test_packed_columns_compress():
+    """Small numbers in wide columns take little more than their own bytes, and come back as they were."""
+    import pyarrow as pa
+
+    from runlattice.llm import blobs
+
+    r = np.random.default_rng(3)
+    columns = [r.integers(0, 1 << 18, 5000), r.integers(0, 1 << 12, 5000).astype(np.int32), r.integers(0, 1 << 63, 5000).astype(np.uint64)]
+    packed = blobs.pack(columns)
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(columns, blobs.unpack(packed, ["i8", "i4", "u8"])))
+    assert [len(c) for c in blobs.unpack(blobs.pack([c[:0] for c in columns]), ["i8", "i4", "u8"])] == [0, 0, 0]
+    assert len(pa.compress(packed, "lz4", asbytes=True)) < 5000 * (3 + 2 + 8.2)
